@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from strata.llm.text import as_array, pieces, ragged
 
@@ -263,7 +264,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             made = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "ids"])
 
-    return rows.mapInArrow(work, rows.schema.add("ids", "array<int>"))
+    return rows.mapInArrow(work, rows.schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> DataFrame:
