@@ -23,8 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
+from strata.llm.shared import widened
 from strata.llm.text import as_array, pieces, ragged
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             made = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "ids"])
 
-    return rows.mapInArrow(work, rows.schema.add("ids", ArrayType(IntegerType())))
+    return rows.mapInArrow(work, widened(rows, "ids array<int>"))
 
 
 def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> DataFrame:
@@ -273,9 +273,7 @@ def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> Data
     extra = ["decoded", "decoded_text"] if text else ["decoded"]
     keep = [c for c in coded.columns if c not in extra]
     rows = coded.select(*keep)
-    schema = rows.schema.add("decoded", "binary")
-    if text:
-        schema = schema.add("decoded_text", "string")
+    schema = widened(rows, "decoded binary, decoded_text string" if text else "decoded binary")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, public_tokenizers.PATTERN)

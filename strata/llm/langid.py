@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import fold, spread
+from strata.llm.shared import fold, spread, widened
 from strata.llm.text import as_array, pieces
 
 UND = "und"
@@ -187,7 +187,7 @@ def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
     spark = docs.sparkSession
     extra = ["lang_pred", "lang_score", "rejected"]
     keep = [c for c in docs.columns if c not in extra]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double").add("rejected", "boolean")
+    schema = widened(docs.select(*keep), "lang_pred string, lang_score double, rejected boolean")
     small = LanguageModel(model.labels, model.embeddings.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature, model.threshold)
     sent = spark.sparkContext.broadcast(pickle.dumps(small))
 

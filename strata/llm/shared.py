@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,8 @@ def fold(column: str = "doc_id", parts: int = 4) -> Column:
 def spread(column: str = "doc_id", buckets: int = 1 << 20, seed: int = 11) -> Column:
     """A scrambled bucket of the id; bounded samples are taken by it."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(buckets))
+
+
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of df with the columns of the schema string after it."""
+    return StructType([*df.schema.fields, *_parse_datatype_string(more).fields])
