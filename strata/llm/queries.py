@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.bpe import op8_byte_bpe
+from strata.llm.dartminhash import op2_near_duplicates
 from strata.llm.decontaminate import op7_decontamination
 from strata.llm.langid import op9_language_id
+from strata.llm.linededup import op6_line_dedup
 from strata.llm.tokenfile import op3_token_file
 from strata.llm.topk import OP4_SQL, op4_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_file": op3_token_file,
     "op4_top_k": op4_top_k,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
