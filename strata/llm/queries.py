@@ -11,6 +11,7 @@ from strata.llm.dartminhash import op2_near_duplicates
 from strata.llm.decontaminate import op7_decontamination
 from strata.llm.langid import op9_language_id
 from strata.llm.linededup import op6_line_dedup
+from strata.llm.ngramlm import op10_lm_score
 from strata.llm.tokenfile import op3_token_file
 from strata.llm.topk import OP4_SQL, op4_top_k
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
