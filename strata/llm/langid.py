@@ -125,14 +125,16 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 6,
     order = rng.permutation(len(texts))
     cut = len(texts) // 5
     held, used = order[:cut], order[cut:]
-    codes, owners, _ = features(texts)
-    by_owner = np.argsort(owners, kind="stable")
-    codes, bounds = codes[by_owner], np.searchsorted(owners[by_owner], np.arange(len(texts) + 1))
+    each: list[np.ndarray] = []
+    for at in range(0, len(texts), 100):  # a bounded part of the features is unsorted at a time
+        codes, owners, _ = features(texts[at : at + 100])
+        by_owner = np.argsort(owners, kind="stable")
+        each += np.split(codes[by_owner], np.searchsorted(owners[by_owner], np.arange(1, len(texts[at : at + 100]))))
     steps, step = epochs * len(used), 0
     model.weights = rng.normal(0, 0.1, model.weights.shape)
     for _ in range(epochs):
         for i in rng.permutation(used):
-            mine = codes[bounds[i] : bounds[i + 1]]
+            mine = each[i]
             lr = rate * (1 - step / max(steps, 1))
             step += 1
             if not len(mine):
@@ -148,7 +150,8 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 6,
             kinds, times = np.unique(mine, return_counts=True)
             model.embeddings[kinds] -= (lr * times / len(mine))[:, None] * back[None, :] * min(len(mine), 64)
     if cut >= 20:
-        z, n_letters = model.logits([texts[i] for i in held])
+        parts = [model.logits([texts[i] for i in held[at : at + 100]]) for at in range(0, cut, 100)]
+        z, n_letters = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         z, t = z[n_letters > 0], y[held][n_letters > 0]
         grid = np.geomspace(0.25, 8, 21)
         loss = [-np.log(softmax(z / g)[np.arange(len(t)), t] + 1e-12).mean() for g in grid]
@@ -160,7 +163,7 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 6,
     return model
 
 
-def fit(docs: DataFrame, learn: Column | None = None, *, per_label: int = 600, chars: int = 8_000_000) -> LanguageModel:
+def fit(docs: DataFrame, learn: Column | None = None, *, per_label: int = 600, chars: int = 4_000_000) -> LanguageModel:
     """Train on at most about ``per_label`` texts of each label and ``chars`` characters of text.
 
     The sample takes rows by a hash of the id, at a rate from the count of each label, so it is the
