@@ -33,7 +33,23 @@ from strata.llm.text import as_array, pieces, ragged, raw, cut
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SCHEMA = "doc_id bigint, part int, first bigint, n_tokens bigint, ids array<int>"
-_KNOWN = 300_000
+_KNOWN = 500_000
+_MARK = "<|endoftext|>"
+_MARKS = b"!#$%&*+,-./:;=?@|"
+
+
+def _parts(chunk: bytes) -> tuple[bytes, bytes]:
+    """A chunk as what is before its last ASCII marks, and those, if a letter or digit stands between.
+
+    The tokenizer merges marks with marks but never with letters or digits. It lower-cases, so an
+    ASCII chunk can be lower-cased first; others are left, as they may compose.
+    """
+    body = chunk.rstrip(_MARKS)
+    if body.isascii():
+        return (body.lower(), chunk[len(body) :]) if body[-1:].isalnum() else (chunk.lower(), b"") if chunk.isascii() else (chunk, b"")
+    if body[-1:].isalnum() or 0xC3 <= body[-2] <= 0xC9 and (last := body[-2:].decode()).isalpha() and len(last.lower()) == 1:
+        return body, chunk[len(body) :]
+    return chunk, b""
 
 
 class ChunkEncoder:
@@ -44,23 +60,37 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.mark = self.tokenizer.token_to_id(_MARK)
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Encode parts in few calls: a special token between parts keeps them apart in the ids."""
+        known = self.known
+        alone = [p for p in parts if b"<|" in p] if self.mark is not None else parts
+        for p in alone:
+            known[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, np.int32).tobytes()
+        rest = [p for p in parts if p not in known]
+        for at in range(0, len(rest), 4000):
+            some = rest[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([_MARK.join(p.decode() for p in some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                known[p] = data[begin:end]
+                begin = end + 4
 
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
         w = cut(*raw(texts), blanks=b" \n")
-        chunks = w.distinct.to_pylist()
         if len(self.known) > _KNOWN:
             self.known = {}
         known = self.known
-        new = [c for c in chunks if c not in known]
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                known[chunk] = e.ids
-        coded = [known[c] for c in chunks]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(sizes.sum()))
+        split = [_parts(c) for c in w.distinct.to_pylist()]
+        new = {p for pair in split for p in pair if p not in known}
+        self._learn(list(new))
+        coded = [known[a] + known[b] for a, b in split]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), np.int32)
         begins = np.cumsum(sizes) - sizes
         ids = flat[ragged(begins[w.codes], sizes[w.codes])]
         off = np.concatenate([[0], np.cumsum(sizes[w.codes])])[w.starts]
@@ -93,7 +123,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None, parts: int | None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in pieces(batches, limit=8 << 20):
+        for b in pieces(batches, limit=6 << 20):
             ids, off = own.encode(as_array(b.column(2)), end)
             sizes = np.diff(off)
             yield pa.RecordBatch.from_arrays(
