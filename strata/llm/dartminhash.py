@@ -213,7 +213,7 @@ def _rest(members: DataFrame, labels: DataFrame, runs: DataFrame, least: float,
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = WORDS, k: int = K, rows: int = ROWS, weights: str = "set", block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, node (hash of the text) and class_id, the least doc_id of its class."""
+    """A row for each row of docs: doc_id, node (hash of the text), class_id (the least doc_id of its class), class_size and root (the least node)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     keyed = stored(signed(texts, k, rows, size, weights).distinct(), "bands")
     least_of = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "least")
@@ -229,7 +229,16 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = WORD
     by_root = texts.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     by_root = stored(by_root, "labelled")
     least_doc = by_root.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return by_root.join(least_doc, "root").select("doc_id", "class_id", "class_size", "node")
+    return by_root.join(least_doc, "root").select("doc_id", "class_id", "class_size", "node", "root")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that lead their class: the least doc_id (null last), then the least text hash; one row of equal ones."""
+    found = stored(classes(docs, **options), "classes")
+    lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("lead")).select(F.col("lead.doc_id").alias("_doc"), F.col("lead.node").alias("_node"))
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    picked = rows.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_node")), "left_semi")
+    return picked.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

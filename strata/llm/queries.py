@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from strata.llm.bpe import op8_byte_bpe
 from strata.llm.dartminhash import op2_near_duplicates
 from strata.llm.decontaminate import op7_decontamination
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_lm_score": op10_lm_score,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
