@@ -15,7 +15,9 @@ Repeated rows are each encoded. Empty tables give empty results; columns named a
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,22 +40,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings; moves are built when first taken."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
         self.ranks, self.most_states = ranks, most_states
         self.piece = {v: k for k, v in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        #: The trie: (node << 8 | byte) -> node, the token that ends at a node, and whether a node goes on.
+        self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.goes_on = bytearray(1)
         for word, rank in ranks.items():
             node = 0
             for b in word:
-                step = self.children[node].get(b)
+                step = self.child.get(node << 8 | b)
                 if step is None:
-                    step = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    step = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.goes_on[node] = 1
+                    self.goes_on.append(0)
                 node = step
             self.token_at[node] = rank
-        self.agrees: dict[tuple[int, int], bool] = {}
+        self.agrees: dict[int, bool] = {}
         self._restart()
 
     def _restart(self) -> None:
@@ -80,32 +85,40 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _agree(self, before: int, token: int) -> bool:
-        known = self.agrees.get((before, token))
-        if known is None:
-            want = [token] if before < 0 else [before, token]
-            known = self.agrees[before, token] = self.merged((self.piece[before] if before >= 0 else b"") + self.piece[token]) == want
-        return known
+        want = [token] if before < 0 else [before, token]
+        found = self.agrees[before << 32 | token] = self.merged((self.piece[before] if before >= 0 else b"") + self.piece[token]) == want
+        return found
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         guesses, whole = [], None
+        child, token_at, goes_on, agrees = self.child, self.token_at, self.goes_on, self.agrees
         for node, before, out in self.states[state]:
-            step = self.children[node].get(byte)
+            step = child.get(node << 8 | byte)
             if step is None:
                 continue
-            token = self.token_at[step]
-            if whole is None and token >= 0 and self._agree(before, token):
-                whole = (0, token, (*out, token))
-            if self.children[step]:
+            if whole is None and (token := token_at[step]) >= 0:
+                ok = agrees.get(before << 32 | token)
+                if self._agree(before, token) if ok is None else ok:
+                    whole = (0, token, (*out, token))
+            if goes_on[step]:
                 guesses.append((step, before, out))
         if whole is None:
             raise ValueError(f"no token ends with byte {byte}: the vocabulary lacks single bytes")
-        guesses.append(whole)
-        shared = 0
-        shortest = min(len(out) for _, _, out in guesses)
-        while shared < shortest and len({out[shared] for _, _, out in guesses}) == 1:
-            shared += 1
-        sent = whole[2][:shared]
-        key = tuple((node, before, out[shared:]) for node, before, out in guesses)
+        sent = ()
+        if not guesses:  # all other guesses ended
+            key, sent = ((0, whole[1], ()),), whole[2]
+        else:
+            guesses.append(whole)
+            shared, outs = 0, [g[2] for g in guesses]
+            for x, y in zip(min(outs), max(outs)):
+                if x != y:
+                    break
+                shared += 1
+            if shared:
+                sent = whole[2][:shared]
+                key = tuple([(node, before, out[shared:]) for node, before, out in guesses])
+            else:
+                key = tuple(guesses)
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
@@ -175,9 +188,9 @@ class Codec:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.ranks = load_ranks(path)
-        self.machine = Transducer(self.ranks)
+        self._machine: Transducer | None = None
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         top = max(self.ranks.values()) + 1
         table = [b""] * top
         for word, rank in self.ranks.items():
@@ -187,32 +200,41 @@ class Codec:
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.moves: dict[tuple, tuple] = {}
-        #: Tokens that hold whole characters: they lead from between two characters to between two characters.
-        self.closed = np.fromiter((Utf8Stream.step((0, 0, 0, 0), w)[0][0] == 0 and w.isascii() or _whole(w) for w in table), bool, top)
+        #: Tokens of whole characters: they lead from between two characters to between two characters.
+        self.closed = np.fromiter((w.isascii() or _whole(w) for w in table), bool, top)
+
+    @property
+    def machine(self) -> Transducer:
+        """Built for encoding only."""
+        if self._machine is None:
+            self._machine = Transducer(self.ranks)
+        return self._machine
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
-        index: dict[str, int] = {}
-        codes: list[int] = []
-        bounds = [0]
-        for t in texts:
-            codes += [index.setdefault(x, len(index)) for x in self.split(t)]
-            bounds.append(len(codes))
-        if len(self.known) > 200_000:
+        found = [self.split(t) for t in texts]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, int(bounds[-1]))
+        del found
+        if len(self.known) > 250_000:
             self.known = {}
         known, encode, coded = self.known, self.machine.encode, []
+        collects = gc.isenabled()
+        gc.disable()  # states are many and hold no cycles
         for word in index:
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = encode(word.encode())
+                ids = known[word] = tuple(encode(word.encode()))
             coded.append(ids)
+        if collects:
+            gc.enable()
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
         begins = np.cumsum(sizes) - sizes
-        at = np.array(codes, np.int64)
         ids = flat[ragged(begins[at], sizes[at])]
         total = np.concatenate([[0], np.cumsum(sizes[at])])
-        return ids, total[np.array(bounds)]
+        return ids, total[bounds]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes[ragged(self.begins[ids], self.sizes[ids])].tobytes()
@@ -226,7 +248,7 @@ class Codec:
             step = self.moves.get((state, i))
             if step is None:
                 step = Utf8Stream.step(state, self.table[i])
-                if len(self.moves) < 500_000:
+                if len(self.moves) < 100_000:
                     self.moves[state, i] = step
             state = step[0]
             out.append(step[1])
@@ -259,7 +281,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in pieces(batches, limit=6 << 20):
+        for b in pieces(batches, limit=2 << 20):
             ids, off = own.encode(as_array(b.column(b.schema.get_field_index("text"))).to_pylist())
             made = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "ids"])
