@@ -26,6 +26,7 @@ class EliasFano:
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
+        universe = universe if n else 0
         bits = max(0, min(56, int(np.log2(max(universe, 1) / n)))) if n else 0
         parts = [np.zeros(0, np.uint8)]
         for at in range(0, n, 1 << 16):  # whole bytes at each cut, as the step is a multiple of 8

@@ -126,6 +126,12 @@ def split_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit scrambler."""
     x = x.astype(np.uint64)

@@ -14,8 +14,8 @@ The first threshold of each query comes from a bounded set of the longest vector
 queries meets every block of candidates; per pair of blocks only k rows a query that can still win are passed on.
 
 Vectors that are null, empty of components, or hold null or non-finite components take no part. Repeated rows are separate
-candidates; a query's own row is told by its vec_id, so other rows with the same vec_id are left out
-too. Null vec_ids take no part. Vectors of a length other than the most common one take no part. Empty tables give no rows. Equal scores go to the smaller vec_id.
+candidates and one query; a query's own row is told by its vec_id, so other rows with the same vec_id are left out
+too, and queries with one vec_id but different vectors are answered each. Null vec_ids take no part. Vectors of a length other than the most common one take no part. Empty tables give no rows. Equal scores go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BLOCK = 8192
 QUERY_BLOCK = 2048
 SEEDS = 2048
 CHUNK = 512
-_RESULT = "query_id bigint, vec_id bigint, score bigint"
+_RESULT = "query_id bigint, query bigint, vec_id bigint, score bigint"
 
 
 def usable(vectors: DataFrame, scale: int) -> DataFrame:
@@ -43,7 +43,7 @@ def usable(vectors: DataFrame, scale: int) -> DataFrame:
     bad = F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~bad)
     v = F.transform("x", lambda e: F.floor(e * F.lit(float(scale))))
-    return rows.select("vec_id", v.alias("v")).withColumn("n2", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
+    return rows.select("vec_id", v.alias("v")).withColumn("h", F.xxhash64("v")).withColumn("n2", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -74,7 +74,7 @@ def pack(rows: DataFrame, size: int, prefix: str) -> DataFrame:
         def out(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
             for at in range(0, len(f), size):
                 g = f.iloc[at : at + size].sort_values(["n2", "vec_id"], ascending=[False, True])
-                yield pd.DataFrame({f"{prefix}ids": [g["vec_id"].to_numpy(np.int64).tobytes()], f"{prefix}vs": [_matrix(g["v"]).tobytes()]})
+                yield pd.DataFrame({f"{prefix}ids": [g["vec_id"].to_numpy(np.int64).tobytes()], f"{prefix}hs": [g["h"].to_numpy(np.int64).tobytes()], f"{prefix}vs": [_matrix(g["v"]).tobytes()]})
 
         for f in frames:
             held.append(f)
@@ -86,7 +86,7 @@ def pack(rows: DataFrame, size: int, prefix: str) -> DataFrame:
         if held:
             yield from out(pd.concat(held))
 
-    return rows.mapInPandas(work, f"{prefix}ids binary, {prefix}vs binary")
+    return rows.mapInPandas(work, f"{prefix}ids binary, {prefix}hs binary, {prefix}vs binary")
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, seeds: tuple[np.ndarray, np.ndarray] | None = None, lead: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -174,12 +174,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
             for r in f.itertuples(index=False):
                 q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.x_ids, np.int64)
                 a, b, score, _ = search_block(q_ids, np.frombuffer(r.q_vs, np.int64).reshape(-1, dim), ids, np.frombuffer(r.x_vs, np.int64).reshape(-1, dim), turn, k, (s_ids, s), lead)
-                yield pd.DataFrame({"query_id": q_ids[a], "vec_id": ids[b], "score": score})
+                yield pd.DataFrame({"query_id": q_ids[a], "query": np.frombuffer(r.q_hs, np.int64)[a], "vec_id": ids[b], "score": score})
 
-    asked = pack(rows.where(queries), QUERY_BLOCK, "q_")
+    asked = pack(rows.where(queries).dropDuplicates(["vec_id", "h"]), QUERY_BLOCK, "q_")
     pairs = pack(rows, BLOCK, "x_").crossJoin(asked)
     won = pairs.mapInPandas(work, _RESULT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return won.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
