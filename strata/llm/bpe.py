@@ -30,6 +30,7 @@ from strata.llm.shared import widened
 from strata.llm.text import as_array, pieces, ragged
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+GUESSES, REST = -1, -2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings; moves are built when first taken."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most_states = ranks, most_states
         self.piece = {v: k for k, v in ranks.items()}
         #: The trie: (node << 8 | byte) -> node, the token that ends at a node, and whether a node goes on.
@@ -62,11 +63,9 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        start = ((0, -1, ()),)
-        self.states: list[tuple] = [start]
-        self.ids: dict[tuple, int] = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.rest: list[tuple[int, ...]] = [()]
+        #: A state maps a byte to (next state, outputs sent), GUESSES to its live guesses and REST to the outputs at an end.
+        self.start: dict = {GUESSES: ((0, -1, ()),), REST: ()}
+        self.states: dict[tuple, dict] = {self.start[GUESSES]: self.start}
         if len(self.agrees) > 4 * self.most_states:
             self.agrees = {}
 
@@ -89,10 +88,10 @@ class Transducer:
         found = self.agrees[before << 32 | token] = self.merged((self.piece[before] if before >= 0 else b"") + self.piece[token]) == want
         return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         guesses, whole = [], None
         child, token_at, goes_on, agrees = self.child, self.token_at, self.goes_on, self.agrees
-        for node, before, out in self.states[state]:
+        for node, before, out in state[GUESSES]:
             step = child.get(node << 8 | byte)
             if step is None:
                 continue
@@ -119,26 +118,24 @@ class Transducer:
                 key = tuple([(node, before, out[shared:]) for node, before, out in guesses])
             else:
                 key = tuple(guesses)
-        to = self.ids.get(key)
+        to = self.states.get(key)
         if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.rest.append(key[-1][2])
-        self.moves[state << 8 | byte] = found = (to, sent)
+            to = self.states[key] = {GUESSES: key, REST: key[-1][2]}
+        found = state[byte] = (to, sent)
         return found
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > self.most_states:
             self._restart()
-        state, out, moves = 0, [], self.moves
+        state, out = self.start, []
         for b in data:
-            step = moves.get(state << 8 | b)
+            step = state.get(b)
             if step is None:
                 step = self._move(state, b)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.rest[state])
+            state, sent = step
+            if sent:
+                out.extend(sent)
+        out.extend(state[REST])
         return out
 
 
@@ -210,6 +207,13 @@ class Codec:
             self._machine = Transducer(self.ranks)
         return self._machine
 
+    def forget(self) -> None:
+        """Drop what was learnt from texts, but not the vocabulary."""
+        self.known, self.moves = {}, {}
+        if self._machine is not None:
+            self._machine._restart()
+            self._machine.agrees = {}
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
         found = [self.split(t) for t in texts]
@@ -217,16 +221,14 @@ class Codec:
         index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
         at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, int(bounds[-1]))
         del found
-        if len(self.known) > 250_000:
+        if len(self.known) > 300_000:
             self.known = {}
-        known, encode, coded = self.known, self.machine.encode, []
+        known, encode = self.known, self.machine.encode
         collects = gc.isenabled()
         gc.disable()  # states are many and hold no cycles
-        for word in index:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = tuple(encode(word.encode()))
-            coded.append(ids)
+        for word in sorted(index.keys() - known.keys()):  # neighbours share their first moves
+            known[word] = tuple(encode(word.encode()))
+        coded = [known[word] for word in index]
         if collects:
             gc.enable()
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -273,20 +275,30 @@ def _where(path: str | None) -> str:
     return path or public_tokenizers.path(VOCABULARY)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """All columns of docs with ``ids`` array<int>. ``path``: a rank file that every executor has."""
+def _lists(ids: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, back: bool = False) -> DataFrame:
+    """All columns of docs with ``ids`` array<int>, and with ``decoded`` binary if they are to be decoded in the same pass.
+
+    ``path``: a rank file that every executor has.
+    """
     path = _where(path)
-    keep = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(*keep)
+    extra = ["ids", "decoded"] if back else ["ids"]
+    rows = docs.select(*[c for c in docs.columns if c not in extra])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in pieces(batches, limit=2 << 20):
             ids, off = own.encode(as_array(b.column(b.schema.get_field_index("text"))).to_pylist())
-            made = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "ids"])
+            made = [_lists(ids, off)]
+            if back:
+                made.append(pa.array([own.decode(ids[off[i] : off[i + 1]]) for i in range(b.num_rows)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *extra])
+        own.forget()  # the worker may serve other stages next
 
-    return rows.mapInArrow(work, widened(rows, "ids array<int>"))
+    return rows.mapInArrow(work, widened(rows, "ids array<int>, decoded binary" if back else "ids array<int>"))
 
 
 def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> DataFrame:
@@ -317,7 +329,7 @@ def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> Data
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs).select("doc_id", "ids"), text=False)
+    out = encode(docs, back=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
