@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and whether they decode to its text."""
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")), text=False)
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), back=True)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 

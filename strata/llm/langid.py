@@ -196,7 +196,7 @@ def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
-        for b in pieces(batches, limit=4 << 20):
+        for b in pieces(batches, limit=1 << 19):
             names, score, rejected = own.predict(as_array(b.column(b.schema.get_field_index("text"))).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names, *extra])
 

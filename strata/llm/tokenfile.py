@@ -131,6 +131,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None, parts: int | None
                 names=["doc_id", "part", "first", "n_tokens", "ids"],
             )
             seen += int(off[-1])
+        own.known = {}  # the worker may serve other stages next
 
     return rows.mapInArrow(work, SCHEMA)
 
