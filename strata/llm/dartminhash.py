@@ -20,7 +20,7 @@ a pair with a chance of 5e-8. Equal texts are one node from the start, keyed by
 
 Null texts count as empty; all empty texts are one class of equal texts and have no runs. A text of
 fewer than five words is one run. A null doc_id stays null, and takes no part in the least doc_id of a class. Repeated
-rows each get a row. An empty table gives no rows. Other columns are left out.
+rows each get a row; where different texts share a doc_id, classes are told apart by root. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -243,3 +243,18 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_size")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY text) AS n, text, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') AS w FROM t),
+s AS MATERIALIZED (SELECT DISTINCT n, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS r FROM w),
+c AS (SELECT n, count(*) AS c FROM s GROUP BY n),
+o AS (SELECT a.n AS a, b.n AS b, count(*) AS o FROM s a JOIN s b ON a.r = b.r AND a.n < b.n GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN c x ON x.n = a JOIN c y ON y.n = b WHERE o >= 0.8 * (x.c + y.c - o)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT n, n AS m FROM w UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.n),
+k AS (SELECT n, min(m) AS k FROM r GROUP BY n),
+d AS (SELECT doc_id, k FROM documents JOIN w ON w.text = coalesce(documents.text, '') JOIN k ON k.n = w.n)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS class_size FROM d
+"""
