@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.decontaminate import ENDS
 from strata.llm.license_texts import NOTICES
-from strata.llm.text import as_array, hash_all, pieces, words
+from strata.llm.text import as_array, pieces, words
 
 COVERAGE = 0.85
 DENSITY = 0.6
@@ -107,7 +107,7 @@ class Templates:
     def __init__(self, notices: dict[str, list[str]]):
         names = [(k, t) for k, ts in notices.items() for t in ts]
         w = words(pa.array([t for _, t in names], pa.string()), ENDS, lower=True)
-        h = hash_all(w.distinct.to_pylist())
+        h = w.hashes()
         self.items = [(name, h[w.codes[w.starts[i] : w.starts[i + 1]]].tolist()) for i, (name, _) in enumerate(names)]
         common = Counter(x for _, t in self.items for x in set(t))
         self.cues: dict[int, list[int]] = {}

@@ -8,11 +8,11 @@ removed. Lines without a word are kept and compared with nothing.
 2. Rarity: counts of all words in a fixed table of hash buckets (a consistent order for any number of words), summed in two
    levels; it is the only thing broadcast besides a size-checked set of candidates.
 3. Words of a line are ordered by rarity. Only the prefix that any similar line must share a word
-   with is sent, with position, size and a 64-bit sketch, to the shard of the word. A word too
+   with is sent, with position, size and hashed parities, to the shard of the word. A word too
    frequent for one shard is dealt over cells, one for each pair of its blocks, so no group is unbounded.
-4. A shard pairs lines that share a word if sizes, positions and sketches allow the similarity.
+4. A shard pairs lines that share a word if sizes, positions and parities allow the similarity.
    Equal lines were folded; of each line the shards keep the ``near`` closest earlier partners, and
-   say so if there were more. Candidates are verified exactly. A line that had more and was not settled
+   say so if there were more. Candidates are verified exactly, the closest first. A line that had more and was not settled
    is asked again without that bound, so no match is lost and a group of near copies isn't written out as all its pairs.
 
 Word hashes are 32-bit within a pair and set hashes 64-bit. Nulls count as empty texts. A null doc_id comes
@@ -23,28 +23,30 @@ Empty tables give no rows.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.shared import stored
-from strata.llm.text import as_array, cut, mix, pieces, ragged, raw
+from strata.llm.text import as_array, cut, mix, pieces, ragged, raw, sorted_distinct
 
 SIMILARITY = 0.8
 BUCKET_BITS = 22
 SLICES = 64
 HOT = 4096
-NEAR = 4
+NEAR = 12
+TRIED = 1
+LONG = 64
 KNOWN_MOST = 1_000_000
 
 LINES = "doc_id bigint, rid bigint, text_hash bigint, n_lines int, line_no binary, sets binary, sizes binary, words binary"
-_ENTRY = np.dtype([("word", "<u4"), ("cell", "<u4"), ("set", "<i8"), ("sketch", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4")])
+_ENTRY = np.dtype([("word", "<u4"), ("cell", "<u4"), ("set", "<i8"), ("sketch", "<u8"), ("sketch2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4")])
 _FIRST = np.iinfo(np.int64).min
 
 
@@ -56,12 +58,12 @@ def line_sets(docs: DataFrame) -> DataFrame:
         for b in pieces(batches, limit=12 << 20):
             body, off = raw(as_array(b.column(2)))
             ends = np.flatnonzero(body == 10) + 1
-            edges = np.union1d(ends, off)
+            edges = sorted_distinct(np.concatenate([ends, off]))
             w = cut(body, edges)
             line = np.repeat(np.arange(len(edges) - 1), np.diff(w.starts))
             h = w.hashes()
             short = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            key = np.unique(line.astype(np.uint64) << np.uint64(32) | short[w.codes].astype(np.uint64))
+            key = sorted_distinct(line.astype(np.uint64) << np.uint64(32) | short[w.codes].astype(np.uint64))
             line, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             size = np.bincount(line, minlength=len(edges) - 1)
             full = np.flatnonzero(size)
@@ -74,7 +76,7 @@ def line_sets(docs: DataFrame) -> DataFrame:
             number = (full - first_line[doc]).astype(np.int32)
             at = np.searchsorted(doc, np.arange(len(off)))
             sizes = size[full].astype(np.int32)
-            n_lines = pa.array(np.diff(first_line).astype(np.int32), pa.int32())
+            n_lines = pa.array((np.diff(np.searchsorted(ends, off, side="right")) + 1).astype(np.int32), pa.int32())
 
             def blobs(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
                 return pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())
@@ -95,18 +97,23 @@ def rarity(lines: DataFrame) -> np.ndarray:
     """Of each bucket of word hashes the number of lines with such words, on a scale of 0 to 255."""
     width = (1 << BUCKET_BITS) // SLICES
 
+    def packed(x: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(np.minimum(x, np.iinfo(np.uint32).max).astype("<u4").tobytes())
+
+    def unpacked(blob: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.uint32)
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            np.add.at(total, _joined(b.column(0), np.uint32) >> np.uint32(32 - BUCKET_BITS), 1)
-        cut = total.reshape(SLICES, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES), pa.int32()), pa.array(np.full(SLICES, TaskContext.get().partitionId()), pa.int32()), pa.array([zlib.compress(x.astype("<u8").tobytes(), 1) for x in cut], pa.binary())], names=["slice", "task", "counts"])
+            total += np.bincount(_joined(b.column(0), np.uint32) >> np.uint32(32 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES), pa.int32()), pa.array(np.full(SLICES, TaskContext.get().partitionId()), pa.int32()), pa.array([packed(x) for x in total.reshape(SLICES, width)], pa.binary())], names=["slice", "task", "counts"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint64)
+        total = np.zeros(width, np.int64)
         for x in f["counts"]:
-            total += np.frombuffer(zlib.decompress(x), "<u8")
-        return pd.DataFrame({"slice": [f["slice"].iloc[0]], "task": [f["task"].iloc[0] // 64], "counts": [zlib.compress(total.tobytes(), 1)]})
+            total += unpacked(x)
+        return pd.DataFrame({"slice": [f["slice"].iloc[0]], "task": [f["task"].iloc[0] // 64], "counts": [packed(total)]})
 
     shape = "slice int, task int, counts binary"
     parts = lines.select("words").mapInArrow(count, shape)
@@ -114,7 +121,7 @@ def rarity(lines: DataFrame) -> np.ndarray:
     got = parts.groupBy("slice").applyInPandas(add, shape).select("slice", "counts").collect()
     out = np.zeros((SLICES, width), np.uint64)
     for r in got:
-        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
+        out[r["slice"]] = unpacked(r["counts"])
     return scaled(out.reshape(-1))
 
 
@@ -134,18 +141,36 @@ def least_overlap(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
 
 
-def entries(doc: np.ndarray, rid: np.ndarray, line: np.ndarray, sets: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float) -> np.ndarray:
-    """Prefix entries of lines; words that only one line has are left out, dealt over cells if hot."""
+def sketches(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 parities of each line, each flipped by its words: two lines differ in no more parities than words.
+
+    Lines of more than LONG words get 64 others as well; short ones have 0 there.
+    """
+    if not len(sizes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h, starts = mix(word.astype(np.uint64)), np.cumsum(sizes) - sizes
+    one = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h & np.uint64(63)), starts)
+    two = np.zeros(len(sizes), np.uint64)
+    long = np.flatnonzero(sizes > LONG)
+    if len(long):
+        at = ragged(starts[long], sizes[long])
+        two[long] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h[at] >> np.uint64(58)), np.cumsum(sizes[long]) - sizes[long])
+    return one, two
+
+
+def entries(doc: np.ndarray, rid: np.ndarray, line: np.ndarray, sets: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float, buckets: np.ndarray | None = None) -> np.ndarray:
+    """Prefix entries of lines, dealt over cells if hot; words that only one line has, or that are not in ``buckets``, are left out."""
     owner = np.repeat(np.arange(len(sets)), sizes)
     level = levels[word >> np.uint32(32 - BUCKET_BITS)]
-    bit = np.left_shift(np.uint64(1), (mix(word.astype(np.uint64)) >> np.uint64(58)))
     starts = np.cumsum(sizes) - sizes
-    sketch = np.bitwise_or.reduceat(bit, starts) if len(sets) else np.zeros(0, np.uint64)
+    sketch, sketch2 = sketches(word, sizes)
     order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64))
     word, level = word[order], level[order]
     at = np.arange(len(word)) - starts[owner]
     prefix = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
     keep = (at < prefix[owner]) & (level > 1)
+    if buckets is not None:
+        keep &= buckets[word >> np.uint32(32 - BUCKET_BITS)]
     word, level, owner, at = word[keep], level[keep], owner[keep], at[keep]
     blocks = np.maximum(1, np.ceil(_count_of(level) / HOT)).astype(np.int64)
     mine = (mix(sets.view(np.uint64))[owner] >> np.uint64(20)).astype(np.int64) % blocks
@@ -155,7 +180,7 @@ def entries(doc: np.ndarray, rid: np.ndarray, line: np.ndarray, sets: np.ndarray
     out = np.zeros(len(source), _ENTRY)
     out["word"], out["cell"] = word[source], a * blocks[source] + b
     o = owner[source]
-    out["set"], out["sketch"], out["doc"], out["rid"], out["line"], out["n"], out["at"] = sets[o], sketch[o], doc[o], rid[o], line[o], sizes[o], at[source]
+    out["set"], out["sketch"], out["sketch2"], out["doc"], out["rid"], out["line"], out["n"], out["at"] = sets[o], sketch[o], sketch2[o], doc[o], rid[o], line[o], sizes[o], at[source]
     return out
 
 
@@ -168,8 +193,43 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return np.repeat(doc, n), np.repeat(rid, n), line, sets, sizes.astype(np.int64), word
 
 
-def indexed(lines: DataFrame, levels, shards: int, t: float) -> DataFrame:
-    """shard and packed entries: a row for each shard that a batch of documents has entries for."""
+_COLUMNS = [c for c in _ENTRY.names if c not in ("doc", "rid")]
+
+
+def _pack(e: np.ndarray) -> bytes:
+    """Entries by column; each document's id and row stand once, in front."""
+    rid, first, row = np.unique(e["rid"], return_index=True, return_inverse=True)
+    parts = [np.array([len(rid), len(e)], np.int64), np.diff(rid, prepend=0), np.diff(e["doc"][first], prepend=0), row.astype(np.uint32), *(np.ascontiguousarray(e[c]) for c in _COLUMNS)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """Entries of several blobs, by column."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in _ENTRY.names}
+    for blob in blobs:
+        data, at = zstandard.ZstdDecompressor().decompress(blob), 16
+        m, n = np.frombuffer(data, np.int64, 2).tolist()
+
+        def take(dtype, count: int, data: bytes = data) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, dtype, count, at)
+            at += out.nbytes
+            return out
+
+        rid, doc = np.cumsum(take(np.int64, m)), np.cumsum(take(np.int64, m))
+        row = take(np.uint32, n)
+        parts["rid"].append(rid[row])
+        parts["doc"].append(doc[row])
+        for c in _COLUMNS:
+            parts[c].append(take(_ENTRY[c], n))
+    return {c: np.concatenate(x) for c, x in parts.items()}
+
+
+def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None) -> DataFrame:
+    """shard and packed entries: a row for each shard that a batch of documents has entries for.
+
+    ``buckets``: packed flags of the word buckets to send, if not all.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
@@ -179,34 +239,36 @@ def indexed(lines: DataFrame, levels, shards: int, t: float) -> DataFrame:
             _, first = np.unique(sets[order], return_index=True)
             pick = np.sort(order[first])  # the first line of each set in the batch
             starts = np.cumsum(sizes) - sizes
-            e = entries(doc[pick], rid[pick], line[pick], sets[pick], sizes[pick], word[ragged(starts[pick], sizes[pick])], table, t)
+            e = entries(doc[pick], rid[pick], line[pick], sets[pick], sizes[pick], word[ragged(starts[pick], sizes[pick])], table, t, None if buckets is None else np.unpackbits(np.frombuffer(buckets.value, np.uint8)).astype(bool))
             shard = (mix(e["word"].astype(np.uint64) << np.uint64(32) | e["cell"].astype(np.uint64)) >> np.uint64(16)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
+            order = np.argsort(shard << np.uint64(32) | e["word"].astype(np.uint64))
             names, at = np.unique(shard[order], return_index=True)
             e, at = e[order], np.append(at, len(e))
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([e[at[i] : at[i + 1]].tobytes() for i in range(len(names))], pa.binary())], names=["shard", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([_pack(e[at[i] : at[i + 1]]) for i in range(len(names))], pa.binary())], names=["shard", "entries"])
 
     return lines.mapInArrow(work, "shard bigint, entries binary")
 
 
-def paired(e: np.ndarray, t: float, near: int | None, asked: np.ndarray | None = None, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Earlier and later sets that may be similar, and whether the later one had more partners than ``near``."""
-    e = e[np.lexsort((e["line"], e["rid"], e["doc"], e["set"], e["cell"], e["word"]))]
-    if len(e):
-        new = np.ones(len(e), bool)
-        new[1:] = (e["set"][1:] != e["set"][:-1]) | (e["cell"][1:] != e["cell"][:-1]) | (e["word"][1:] != e["word"][:-1])
-        e = e[new]  # the first line of a set over all batches
-    e = e[np.lexsort((e["line"], e["rid"], e["doc"], e["cell"], e["word"]))]
-    group = np.ones(len(e), bool)
-    group[1:] = (e["cell"][1:] != e["cell"][:-1]) | (e["word"][1:] != e["word"][:-1])
-    start = np.maximum.accumulate(np.where(group, np.arange(len(e)), 0)) if len(e) else np.zeros(0, np.int64)
-    before = np.arange(len(e)) - start
+def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Earlier and later sets that may be similar, the first document of the earlier one, how many parities differ, and whether the later one had more partners than ``near``.
+
+    ``e``: columns of _ENTRY, as a dictionary or a structured array.
+    """
+    group = e["word"].astype(np.uint64) << np.uint64(32) | e["cell"].astype(np.uint64)
+    order = np.lexsort((e["line"], e["rid"], e["doc"], group))
+    _, first = np.unique((mix(group) ^ np.ascontiguousarray(e["set"]).view(np.uint64))[order], return_index=True)
+    order = order[np.sort(first)]  # the first line of a set over all batches
+    e, group = {c: e[c][order] for c in _ENTRY.names}, group[order]
+    n_all = len(order)
+    new = np.append(True, group[1:] != group[:-1])[:n_all]
+    start = np.maximum.accumulate(np.where(new, np.arange(n_all), 0)) if n_all else np.zeros(0, np.int64)
+    before = np.arange(n_all) - start
     if asked is not None:
         before = np.where(np.isin(e["set"], asked), before, 0)
-    xs, ys, more = [], [], []
+    xs, ys, links, fars, more = [], [], [], [], []
     ends = np.cumsum(before)
     at = 0
-    while at < len(e):
+    while at < n_all:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, side="right")))
         some = np.arange(at, to)
         y = np.repeat(some, before[some])
@@ -218,75 +280,111 @@ def paired(e: np.ndarray, t: float, near: int | None, asked: np.ndarray | None =
         ok = 1 + np.minimum(n - e["at"][x] - 1, m - e["at"][y] - 1) >= need
         x, y, n, m, need = x[ok], y[ok], n[ok], m[ok], need[ok]
         far = np.bitwise_count(e["sketch"][x] ^ e["sketch"][y]).astype(np.int64)
-        ok = far <= n + m - 2 * need
-        x, y, far = x[ok], y[ok], far[ok]
+        other = np.where(np.minimum(n, m) > LONG, np.bitwise_count(e["sketch2"][x] ^ e["sketch2"][y]), 0)
+        ok = np.maximum(far, other) <= n + m - 2 * need
+        x, y, far = x[ok], y[ok], far[ok].astype(np.int32)
         if near is not None and len(x):
             order = np.lexsort((x, far, y))
-            x, y = x[order], y[order]
+            x, y, far = x[order], y[order], far[order]
             first = np.searchsorted(y, y)
             rank = np.arange(len(y)) - first
             over = np.searchsorted(y, y, side="right") - first > near
-            x, y, over = x[rank < near], y[rank < near], over[rank < near]
+            x, y, far, over = x[rank < near], y[rank < near], far[rank < near], over[rank < near]
         else:
             over = np.zeros(len(x), bool)
         xs.append(e["set"][x])
         ys.append(e["set"][y])
+        links.append(e["doc"][x])
+        fars.append(far)
         more.append(over)
         at = to
     if not xs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(more)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.int32), np.zeros(0, bool)
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(links), np.concatenate(fars), np.concatenate(more)
 
 
 def candidates(index: DataFrame, t: float, near: int | None, asked=None) -> DataFrame:
-    """Distinct pairs x (earlier), y (later) of set hashes; more: whether a shard left partners of y out."""
+    """Distinct pairs x (earlier), y (later) of set hashes, link: the first document with x, more: whether a shard left partners of y out."""
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        e = np.frombuffer(b"".join(f["entries"]), _ENTRY)
-        x, y, more = paired(e, t, near, None if asked is None else np.frombuffer(asked.value, np.int64))
-        return pd.DataFrame({"x": x, "y": y, "more": more}).groupby(["x", "y"], as_index=False).agg({"more": "max"})
+        e = _unpack(f["entries"].tolist())
+        x, y, link, far, more = paired(e, t, near, None if asked is None else np.frombuffer(asked.value, np.int64))
+        return pd.DataFrame({"x": x, "y": y, "link": link, "far": far, "more": more}).groupby(["x", "y"], as_index=False).agg({"link": "min", "far": "min", "more": "max"})
+
+    return index.groupBy("shard").applyInPandas(work, "x bigint, y bigint, link bigint, far int, more boolean").groupBy("x", "y").agg(F.min("link").alias("link"), F.min("far").alias("far"), F.max("more").alias("more"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches whose last two columns are words, and which rows have Jaccard similarity t or more."""
+    for r in batches:
+        left, right = (r.column(r.num_columns - k).fill_null(b"") for k in (2, 1))
+        n, m = (np.fromiter((len(v) // 4 for v in c.to_pylist()), np.int64, r.num_rows) for c in (left, right))
+        row = np.concatenate([np.repeat(np.arange(r.num_rows), n), np.repeat(np.arange(r.num_rows), m)])
+        key = np.sort(row.astype(np.uint64) << np.uint64(32) | np.concatenate([_joined(left, np.uint32), _joined(right, np.uint32)]).astype(np.uint64))
+        same = key[1:][key[1:] == key[:-1]] >> np.uint64(32)
+        overlap = np.bincount(same.astype(np.int64), minlength=r.num_rows)
+        yield r, pa.array(overlap >= t * (n + m - overlap) - 1e-9)
+
+
+def _verified_few(lines: DataFrame, few: pd.DataFrame, t: float) -> DataFrame:
+    """The pairs are sent to the lines, and each line's words to the numbers of its pairs: one shuffle."""
+    x, y, link = (few[c].to_numpy(np.int64) for c in ("x", "y", "link"))
+    every = np.concatenate([x, y])
+    order = np.argsort(every, kind="stable")
+    sent = lines.sparkSession.sparkContext.broadcast((every[order], order, x, y, link))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, place = sent.value[:2]
+        n = len(wanted) // 2
+        for b in batches:
+            _, _, _, sets, sizes, word = _unpacked(b)
+            names, pick = np.unique(sets, return_index=True)
+            low, high = np.searchsorted(wanted, names, "left"), np.searchsorted(wanted, names, "right")
+            hit = high > low
+            pick, low, count = pick[hit], low[hit], (high - low)[hit]
+            starts = np.cumsum(sizes) - sizes
+            words = pa.array([word[starts[i] : starts[i] + sizes[i]].tobytes() for i in pick], pa.binary())
+            at = place[ragged(low, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(at % max(n, 1)), pa.array(at >= n), words.take(pa.array(np.repeat(np.arange(len(pick)), count)))], names=["pair", "later", "words"])
 
-    return index.groupBy("shard").applyInPandas(work, "x bigint, y bigint, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
+    told = lines.mapInArrow(tell, "pair bigint, later boolean, words binary")
+    both = told.groupBy("pair").agg(F.first(F.when(~F.col("later"), F.col("words")), ignorenulls=True).alias("a"), F.first(F.when(F.col("later"), F.col("words")), ignorenulls=True).alias("b"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, ok in _compared(batches, t):
+            at = r.column(0).filter(ok).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in sent.value[2:]], names=["x", "y", "link"])
+
+    return both.mapInArrow(work, "x bigint, y bigint, link bigint")
 
 
 def _words_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
-    """set and its words, of the sets asked for; they are sent to the lines if few, else joined."""
-    spark = lines.sparkSession
-    few = asked.limit(KNOWN_MOST + 1).count() <= KNOWN_MOST
-    known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in asked.collect()], np.int64)).tobytes()) if few else None
+    """set and its words, of the sets asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(known.value, np.int64) if few else None
         for b in batches:
             _, _, _, sets, sizes, word = _unpacked(b)
             names, pick = np.unique(sets, return_index=True)
-            if few:
-                ok = np.isin(names, wanted)
-                names, pick = names[ok], pick[ok]
             starts = np.cumsum(sizes) - sizes
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([word[starts[i] : starts[i] + sizes[i]].tobytes() for i in pick], pa.binary())], names=["set", "words"])
 
-    out = lines.mapInArrow(work, "set bigint, words binary").groupBy("set").agg(F.first("words").alias("words"))
-    return out if few else out.join(asked, "set", "left_semi")
+    return lines.mapInArrow(work, "set bigint, words binary").join(asked, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words"))
 
 
-def verified(lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """The pairs x, y with Jaccard similarity t or more."""
-    asked = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
-    known = stored(_words_of(lines, asked), "sets")
-    both = pairs.select("x", "y").join(known.select(F.col("set").alias("x"), F.col("words").alias("a")), "x").join(known.select(F.col("set").alias("y"), F.col("words").alias("b")), "y").select("x", "y", "a", "b")
+def verified(lines: DataFrame, pairs: DataFrame, t: float, most: int = KNOWN_MOST) -> DataFrame:
+    """The pairs x, y, link with Jaccard similarity t or more. Up to ``most`` pairs are sent to the lines; more are joined with words."""
+    pairs = pairs.select("x", "y", "link")
+    if pairs.limit(most + 1).count() <= most:
+        return _verified_few(lines, pairs.toPandas(), t)
+    known = stored(_words_of(lines, pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()), "sets")
+    both = pairs.join(known.select(F.col("set").alias("x"), F.col("words").alias("a")), "x").join(known.select(F.col("set").alias("y"), F.col("words").alias("b")), "y").select("x", "y", "link", "a", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            n = np.fromiter((len(v) // 4 for v in r.column(2).to_pylist()), np.int64, r.num_rows)
-            m = np.fromiter((len(v) // 4 for v in r.column(3).to_pylist()), np.int64, r.num_rows)
-            row = np.concatenate([np.repeat(np.arange(r.num_rows), n), np.repeat(np.arange(r.num_rows), m)])
-            key = np.sort(row.astype(np.uint64) << np.uint64(32) | np.concatenate([_joined(r.column(2), np.uint32), _joined(r.column(3), np.uint32)]).astype(np.uint64))
-            same = key[1:][key[1:] == key[:-1]] >> np.uint64(32)
-            overlap = np.bincount(same.astype(np.int64), minlength=r.num_rows)
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1)], names=["x", "y"]).filter(pa.array(overlap >= t * (n + m - overlap) - 1e-9))
+        for r, ok in _compared(batches, t):
+            yield pa.RecordBatch.from_arrays(r.columns[:3], names=["x", "y", "link"]).filter(ok)
 
-    return both.mapInArrow(work, "x bigint, y bigint")
+    return both.mapInArrow(work, "x bigint, y bigint, link bigint")
 
 
 def removed_lines(lines: DataFrame, *, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
@@ -297,25 +395,46 @@ def removed_lines(lines: DataFrame, *, similarity: float = SIMILARITY, near: int
     shards = max(1, math.ceil((total[0] or 0) / 4 / 3_000_000))
     levels = spark.sparkContext.broadcast(rarity(lines).tobytes())
     index = indexed(lines, levels, shards, t)
-    pairs = stored(candidates(index, t, near), "candidates")
-    good = stored(verified(lines, pairs, t), "similar")
-    open_sets = pairs.where("more").select("y").distinct().join(good.select("y").distinct(), "y", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("far", "x"))
+    pairs = stored(candidates(index, t, near).withColumn("rank", rank), "candidates")
+    good = stored(verified(lines, pairs.where(F.col("rank") <= TRIED), t), "similar")
+    others = pairs.where(F.col("rank") > TRIED).join(good.select("y").distinct(), "y", "left_anti")
+    good = good.union(stored(verified(lines, others, t), "similar"))
+    is_good = good.select(F.col("y").alias("set")).distinct()
+    open_sets = stored(pairs.where("more").select(F.col("y").alias("set")).distinct().join(is_good, "set", "left_anti"), "open")
     blocks = math.ceil(open_sets.count() / KNOWN_MOST)
-    for block in range(blocks):
-        asked = [r[0] for r in open_sets.where(F.pmod(F.xxhash64("y"), F.lit(blocks)) == block).collect()]
-        sent = spark.sparkContext.broadcast(np.sort(np.array(asked, np.int64)).tobytes())
-        good = good.union(stored(verified(lines, stored(candidates(index, t, None, sent), "candidates"), t), "similar"))
+    for block in range(blocks):  # lines with more partners than ``near`` and none of those similar: all partners
+        some = open_sets.where(F.pmod(F.xxhash64("set"), F.lit(blocks)) == block)
+        sets = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in some.collect()], np.int64)).tobytes())
+        buckets = spark.sparkContext.broadcast(_buckets_of(lines, sets))
+        again = stored(candidates(indexed(lines, levels, shards, t, buckets), t, None, sets), "candidates")
+        good = good.union(stored(verified(lines, again, t), "similar"))
     spots = lines.mapInArrow(_spots, "set bigint, doc bigint, rid bigint, line int")
     by_set = spots.groupBy("set").agg(F.min(F.struct("doc", "rid", "line")).alias("first"), F.count("*").alias("n"))
-    firsts = by_set.join(good.groupBy(F.col("y").alias("set")).agg(F.min("x").alias("x")), "set", "left").where((F.col("n") > 1) | F.col("x").isNotNull())
-    firsts = stored(firsts, "firsts")
-    of_x = by_set.select(F.col("set").alias("x"), F.col("first.doc").alias("link")).join(good.select("x").distinct(), "x", "left_semi")
-    firsts = firsts.join(of_x, "x", "left").select("set", "first", "link")
+    firsts = by_set.join(good.groupBy(F.col("y").alias("set")).agg(F.min("link").alias("link")), "set", "left").where((F.col("n") > 1) | F.col("link").isNotNull())
+    firsts = stored(firsts.select("set", "first", "link"), "firsts")
     gone = spots.join(firsts, "set").where(F.col("link").isNotNull() | (F.struct("doc", "rid", "line") != F.col("first")))
-    gone = gone.select("rid", "line", F.when(F.col("link").isNotNull(), F.col("link")).otherwise(F.col("first.doc")).alias("link"))
+    gone = gone.select("rid", "line", F.coalesce("link", "first.doc").alias("link"))
     return gone.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("line", "link"))).alias("g")).select("rid", F.col("g.line").alias("removed"), F.col("g.link").alias("links"))
 
 
+def _buckets_of(lines: DataFrame, sets) -> bytes:
+    """Packed flags of the word buckets that the sets have; each task sends its distinct bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << BUCKET_BITS, bool)
+        for b in batches:
+            _, _, _, own, sizes, word = _unpacked(b)
+            flags[word[np.repeat(np.isin(own, np.frombuffer(sets.value, np.int64)), sizes)] >> np.uint32(32 - BUCKET_BITS)] = True
+        at = np.flatnonzero(np.packbits(flags))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.packbits(flags)[at].astype(np.int32), pa.int32())], names=["at", "bits"])
+
+    got = lines.mapInArrow(work, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros((1 << BUCKET_BITS) // 8, np.uint8)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.tobytes()
+
+
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc, rid, line, sets, _, _ = _unpacked(b)
@@ -351,4 +470,21 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_links"), "removed", "links")
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_links"), F.array_join("removed", ",").alias("removed"))
+
+
+OP6_SQL = r"""
+WITH p AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS pos, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, pos, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM p),
+y AS MATERIALIZED (SELECT doc_id, pos, CAST(line AS INTEGER) AS line, list_sort(list_distinct(list_filter(string_split_regex(t, '[ \t-\r]+'), lambda w: w <> ''))) AS s FROM x),
+z AS MATERIALIZED (SELECT s, arg_min(doc_id, pos * 1000000 + line) AS doc, min(pos * 1000000 + line) AS first FROM y WHERE len(s) > 0 GROUP BY s),
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) AS n, s, len(s) AS c, doc, first FROM z),
+u AS (SELECT n, c, unnest(s) AS w FROM n),
+f AS (SELECT w, count(*) AS df FROM u GROUP BY w),
+q AS MATERIALIZED (SELECT n, w FROM (SELECT u.n, u.w, u.c, row_number() OVER (PARTITION BY u.n ORDER BY df, u.w) AS i FROM u JOIN f ON f.w = u.w) WHERE i <= c - ceil(0.8 * c) + 1),
+cand AS (SELECT DISTINCT a.n AS a, b.n AS b FROM q a JOIN q b ON a.w = b.w AND a.n < b.n),
+m AS (SELECT cand.b AS n FROM cand JOIN n x ON x.n = cand.a JOIN n y ON y.n = cand.b WHERE least(x.c, y.c) >= 0.8 * greatest(x.c, y.c) AND len(list_intersect(x.s, y.s)) >= 0.8 * (x.c + y.c - len(list_intersect(x.s, y.s)))),
+g AS (SELECT y.pos, y.line FROM y JOIN n ON n.s = y.s WHERE y.pos * 1000000 + y.line > n.first OR n.n IN (SELECT n FROM m)),
+h AS (SELECT pos, list_sort(list(line)) AS removed FROM g GROUP BY pos)
+SELECT p.doc_id, CAST(len(ls) AS INTEGER) AS n_lines, CAST(coalesce(len(removed), 0) AS INTEGER) AS n_links, coalesce(array_to_string(removed, ','), '') AS removed FROM p LEFT JOIN h ON h.pos = p.pos
+"""

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from strata.llm.bpe import op8_byte_bpe
-from strata.llm.dartminhash import op2_near_duplicates
+from strata.llm.dartminhash import OP2_SQL, op2_near_duplicates
 from strata.llm.decontaminate import op7_decontamination
 from strata.llm.langid import op9_language_id
 from strata.llm.licenses import op5_license_scan
-from strata.llm.linededup import op6_line_dedup
+from strata.llm.linededup import OP6_SQL, op6_line_dedup
 from strata.llm.ngramlm import op10_lm_score
 from strata.llm.quality import op1_quality
 from strata.llm.tokenfile import op3_token_file
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op4_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL}

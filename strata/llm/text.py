@@ -6,18 +6,25 @@ the work per word is a table lookup and Python code runs only once per distinct
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Bytes that end a word: blank and 0x09 to 0x0D.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: Text bytes handled at once by a Python worker; a single longer text makes a batch of its own.
 BATCH_BYTES = 24 << 20
 
+try:  # only where the C library has it
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = None
+
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -38,13 +45,18 @@ class Words:
         """For each word the index of its text."""
         return np.repeat(np.arange(self.n_texts, dtype=np.int64), np.diff(self.starts))
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash for each distinct word."""
-        return hash_all(self.distinct.to_pylist(), seed)
-
-
-def hash_all(items: list[bytes], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in items), dtype=np.uint64, count=len(items))
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash for each distinct word: random numbers of its bytes times powers of an odd number, scrambled."""
+        n = len(self.distinct)
+        if not n:
+            return np.zeros(0, np.uint64)
+        _, offsets, data = self.distinct.buffers()
+        off = np.frombuffer(offsets, np.int32)[self.distinct.offset : self.distinct.offset + n + 1].astype(np.int64)
+        sizes = np.diff(off)
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _ODD)]))
+        place = np.arange(off[-1] - off[0]) - np.repeat(off[:-1] - off[0], sizes)
+        each = _OF_BYTE[np.frombuffer(data, np.uint8)[off[0] : off[-1]]] * powers[place]
+        return mix(np.add.reduceat(each, off[:-1] - off[0]) ^ mix(sizes.astype(np.uint64)))
 
 
 def as_array(column) -> pa.Array:
@@ -107,6 +119,14 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that a task has freed back to the system, as its worker serves other tasks next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

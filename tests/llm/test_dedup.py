@@ -137,13 +137,16 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("near", [4, 1])
-def test_removed_lines_equal_brute_force(spark, near):
+@pytest.mark.parametrize("near", [12, 1])
+def test_removed_lines_equal_brute_force(spark, monkeypatch, near):
     rows = line_rows()
     shuffled = rows[:]
     random.Random(1).shuffle(shuffled)
     got = L.line_links(spark.createDataFrame(shuffled, "doc_id bigint, text string").repartition(3), near=near).collect()
     assert sorted((r["doc_id"], list(r["removed"])) for r in got) == brute_lines(rows)
+    monkeypatch.setattr(L.verified, "__defaults__", (0,))  # pairs joined with words
+    again = L.line_links(spark.createDataFrame(shuffled, "doc_id bigint, text string"), near=near).collect()
+    assert sorted((r["doc_id"], list(r["removed"])) for r in again) == brute_lines(rows)
     assert all(len(r["links"]) == len(r["removed"]) and all(x <= r["doc_id"] for x in r["links"]) for r in got)
 
 
@@ -156,7 +159,7 @@ def test_hot_words_are_dealt_over_cells(spark, monkeypatch):
     word = [np.sort(np.array([hash(w) & 0xFFFFFFFF for w in s], np.uint32)) for s in distinct]
     n = len(distinct)
     e = L.entries(np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int32), np.arange(n), np.array([len(w) for w in word]), np.concatenate(word), levels, 0.8)
-    x, y, _, _ = L.paired(e, 0.8, None)
+    x, y, *_ = L.paired(e, 0.8, None)
     found = set(zip(x.tolist(), y.tolist()))
     want = {(i, j) for j in range(n) for i in range(j) if len(distinct[i] & distinct[j]) >= 0.8 * len(distinct[i] | distinct[j])}
     assert want <= found and (e["cell"] > 0).any()
