@@ -62,7 +62,7 @@ def elements(texts: pa.Array, size: int, weights: str) -> tuple[np.ndarray, np.n
     return runs[at], weight, np.searchsorted(owner[at], np.arange(len(texts) + 1))
 
 
-def darts(runs: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int, seed: int = 0, limit: int = 2_000_000) -> np.ndarray:
+def darts(runs: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int, seed: int = 0, limit: int = 500_000) -> np.ndarray:
     """Signatures, a row for each text; texts without elements get zeros."""
     n = len(starts) - 1
     best = np.full((n, k), np.iinfo(np.uint64).max, np.uint64)
@@ -123,7 +123,7 @@ def signed(docs: DataFrame, k: int, rows: int, size: int, weights: str) -> DataF
     """node and key: a row for each band of each distinct text of a batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, limit=8 << 20):
+        for b in pieces(batches, limit=3 << 20):
             nodes, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
             runs, weight, starts = elements(as_array(b.column(1).take(pa.array(at))), size, weights)
             full = np.diff(starts) > 0
@@ -137,7 +137,7 @@ def with_runs(docs: DataFrame, size: int) -> DataFrame:
     """node and its sorted distinct runs as bytes of 64-bit hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, limit=8 << 20):
+        for b in pieces(batches, limit=3 << 20):
             nodes, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
             runs, _, starts = elements(as_array(b.column(1).take(pa.array(at))), size, "set")
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([runs[starts[i] : starts[i + 1]].tobytes() for i in range(len(nodes))], pa.binary())], names=["node", "runs"])

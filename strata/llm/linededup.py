@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.shared import stored
-from strata.llm.text import as_array, cut, mix, pieces, ragged, raw, sorted_distinct
+from strata.llm.text import as_array, cut, mix, pieces, ragged, raw, sorted_distinct, tidy
 
 SIMILARITY = 0.8
 BUCKET_BITS = 22
@@ -55,7 +55,7 @@ def line_sets(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").withColumn("rid", F.monotonically_increasing_id())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, limit=12 << 20):
+        for b in pieces(batches, limit=3 << 20):
             body, off = raw(as_array(b.column(2)))
             ends = np.flatnonzero(body == 10) + 1
             edges = sorted_distinct(np.concatenate([ends, off]))
@@ -86,6 +86,14 @@ def line_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, LINES)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, to bound a worker's memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    tidy()
+
+
 def _joined(column: pa.Array, dtype) -> np.ndarray:
     column = column.cast(pa.binary())
     _, offsets, data = column.buffers()
@@ -233,7 +241,7 @@ def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
-        for b in batches:
+        for b in _sliced(batches):
             doc, rid, line, sets, sizes, word = _unpacked(b)
             order = np.lexsort((line, rid, doc))
             _, first = np.unique(sets[order], return_index=True)
@@ -249,8 +257,8 @@ def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None) -> Da
     return lines.mapInArrow(work, "shard bigint, entries binary")
 
 
-def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Earlier and later sets that may be similar, the first document of the earlier one, how many parities differ, and whether the later one had more partners than ``near``.
+def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk: int = 500_000) -> tuple[np.ndarray, ...]:
+    """Earlier and later sets that may be similar, the first documents of both, how many parities differ, and whether the later one had more partners than ``near``.
 
     ``e``: columns of _ENTRY, as a dictionary or a structured array.
     """
@@ -265,7 +273,7 @@ def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk
     before = np.arange(n_all) - start
     if asked is not None:
         before = np.where(np.isin(e["set"], asked), before, 0)
-    xs, ys, links, fars, more = [], [], [], [], []
+    xs, ys, links, owns, fars, more = [], [], [], [], [], []
     ends = np.cumsum(before)
     at = 0
     while at < n_all:
@@ -295,24 +303,25 @@ def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk
         xs.append(e["set"][x])
         ys.append(e["set"][y])
         links.append(e["doc"][x])
+        owns.append(e["doc"][y])
         fars.append(far)
         more.append(over)
         at = to
     if not xs:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.int32), np.zeros(0, bool)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(links), np.concatenate(fars), np.concatenate(more)
+        return none, none, none, none, none.astype(np.int32), np.zeros(0, bool)
+    return tuple(np.concatenate(z) for z in (xs, ys, links, owns, fars, more))
 
 
 def candidates(index: DataFrame, t: float, near: int | None, asked=None) -> DataFrame:
-    """Distinct pairs x (earlier), y (later) of set hashes, link: the first document with x, more: whether a shard left partners of y out."""
+    """Distinct pairs x (earlier), y (later) of set hashes, link and own: the first documents with x and y, more: whether a shard left partners of y out."""
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         e = _unpack(f["entries"].tolist())
-        x, y, link, far, more = paired(e, t, near, None if asked is None else np.frombuffer(asked.value, np.int64))
-        return pd.DataFrame({"x": x, "y": y, "link": link, "far": far, "more": more}).groupby(["x", "y"], as_index=False).agg({"link": "min", "far": "min", "more": "max"})
+        x, y, link, own, far, more = paired(e, t, near, None if asked is None else np.frombuffer(asked.value, np.int64))
+        return pd.DataFrame({"x": x, "y": y, "link": link, "own": own, "far": far, "more": more}).groupby(["x", "y"], as_index=False).agg({"link": "min", "own": "min", "far": "min", "more": "max"})
 
-    return index.groupBy("shard").applyInPandas(work, "x bigint, y bigint, link bigint, far int, more boolean").groupBy("x", "y").agg(F.min("link").alias("link"), F.min("far").alias("far"), F.max("more").alias("more"))
+    return index.groupBy("shard").applyInPandas(work, "x bigint, y bigint, link bigint, own bigint, far int, more boolean").groupBy("x", "y").agg(F.min("link").alias("link"), F.min("own").alias("own"), F.min("far").alias("far"), F.max("more").alias("more"))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -328,25 +337,29 @@ def _compared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[tuple[pa.
 
 
 def _verified_few(lines: DataFrame, few: pd.DataFrame, t: float) -> DataFrame:
-    """The pairs are sent to the lines, and each line's words to the numbers of its pairs: one shuffle."""
-    x, y, link = (few[c].to_numpy(np.int64) for c in ("x", "y", "link"))
+    """The pairs are sent to the lines, and the words of each set, from its first document, to the numbers of its pairs: one shuffle."""
+    x, y, link, own = (few[c].to_numpy(np.int64) for c in ("x", "y", "link", "own"))
     every = np.concatenate([x, y])
     order = np.argsort(every, kind="stable")
-    sent = lines.sparkSession.sparkContext.broadcast((every[order], order, x, y, link))
+    sent = lines.sparkSession.sparkContext.broadcast((every[order], order, np.concatenate([link, own])[order], x, y, link))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, place = sent.value[:2]
+        wanted, place, first = sent.value[:3]
         n = len(wanted) // 2
-        for b in batches:
-            _, _, _, sets, sizes, word = _unpacked(b)
-            names, pick = np.unique(sets, return_index=True)
+        for b in _sliced(batches):
+            doc, _, _, sets, sizes, word = _unpacked(b)
+            order = np.lexsort((doc, sets))
+            names, pick = np.unique(sets[order], return_index=True)
+            pick = order[pick]
             low, high = np.searchsorted(wanted, names, "left"), np.searchsorted(wanted, names, "right")
             hit = high > low
             pick, low, count = pick[hit], low[hit], (high - low)[hit]
             starts = np.cumsum(sizes) - sizes
             words = pa.array([word[starts[i] : starts[i] + sizes[i]].tobytes() for i in pick], pa.binary())
-            at = place[ragged(low, count)]
-            yield pa.RecordBatch.from_arrays([pa.array(at % max(n, 1)), pa.array(at >= n), words.take(pa.array(np.repeat(np.arange(len(pick)), count)))], names=["pair", "later", "words"])
+            spot, line = ragged(low, count), np.repeat(np.arange(len(pick)), count)
+            here = first[spot] == doc[pick][line]
+            at, line = place[spot[here]], line[here]
+            yield pa.RecordBatch.from_arrays([pa.array(at % max(n, 1)), pa.array(at >= n), words.take(pa.array(line))], names=["pair", "later", "words"])
 
     told = lines.mapInArrow(tell, "pair bigint, later boolean, words binary")
     both = told.groupBy("pair").agg(F.first(F.when(~F.col("later"), F.col("words")), ignorenulls=True).alias("a"), F.first(F.when(F.col("later"), F.col("words")), ignorenulls=True).alias("b"))
@@ -354,7 +367,7 @@ def _verified_few(lines: DataFrame, few: pd.DataFrame, t: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, ok in _compared(batches, t):
             at = r.column(0).filter(ok).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in sent.value[2:]], names=["x", "y", "link"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in sent.value[3:]], names=["x", "y", "link"])
 
     return both.mapInArrow(work, "x bigint, y bigint, link bigint")
 
@@ -374,7 +387,7 @@ def _words_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
 
 def verified(lines: DataFrame, pairs: DataFrame, t: float, most: int = KNOWN_MOST) -> DataFrame:
     """The pairs x, y, link with Jaccard similarity t or more. Up to ``most`` pairs are sent to the lines; more are joined with words."""
-    pairs = pairs.select("x", "y", "link")
+    pairs = pairs.select("x", "y", "link", "own")
     if pairs.limit(most + 1).count() <= most:
         return _verified_few(lines, pairs.toPandas(), t)
     known = stored(_words_of(lines, pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()), "sets")

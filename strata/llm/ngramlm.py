@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """w (hash of a word) and c over the rows with ``train``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, limit=8 << 20):
+        for b in pieces(batches, limit=6 << 20):
             w = words(as_array(b.column(1)), lower=True)
             c = np.bincount(w.codes, weights=np.repeat(b.column(2).to_numpy(zero_copy_only=False), np.diff(w.starts)), minlength=len(w.distinct)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(w.hashes().view(np.int64)[c > 0]), pa.array(c[c > 0])], names=["w", "c"])
@@ -152,7 +152,7 @@ def dealt(docs: DataFrame, known, shards: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Frequent = known.value
         number = TaskContext.get().partitionId() << 32
-        for whole in pieces(batches, limit=8 << 20):
+        for whole in pieces(batches, limit=6 << 20):
             for at in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(at, _ROWS)
                 train = b.column(2).to_numpy(zero_copy_only=False)

@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Bytes that end a word: blank and 0x09 to 0x0D.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: Text bytes handled at once by a Python worker; a single longer text makes a batch of its own.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 4 << 20
 
 try:  # only where the C library has it
     _trim = ctypes.CDLL(None).malloc_trim
