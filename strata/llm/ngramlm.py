@@ -5,9 +5,11 @@ and distinct training tokens:
 
     p1(w)      = (c(w) + 1) / (N + V + 1)
     p2(w|v)    = (c(vw) + a p1(w)) / (c(v) + a)
-    p3(w|u,v)  = (c(uvw) + b p2(w|v)) / (c(uv) + b)     where v is frequent and (u, v) was seen
+    p3(w|u,v)  = (c(uvw) + b p2(w|v)) / (c(uv) + b)     where (u, v) was seen
     p3(w|u,v)  = p2(w|v)                                   otherwise
 
+Without ``every_context`` only a frequent v is a context of two words; the query uses every one.
+
 These are proper distributions, and the log of a text's probability is a sum over its n-grams:
 log p1(w), a weight log a/(c(v)+a) or log b/(c(uv)+b) for each word or pair as context, and a gain
 log(1 + c(vw)/(a p1(w))) or log(1 + c(uvw)/(b p2(w|v))) for each pair or triple seen. So no shard
@@ -16,14 +18,16 @@ its context (word, word before, word before that), and returns a partial sum for
 
 1. All words of the training texts are counted; those with at least N / 65536 occurrences are frequent. Only they, at
    most 65536, are broadcast.
-2. Every token goes to a shard with its two words before, packed by batch: frequent words by the
-   pair, others by the word, so no shard depends on one word.
-3. A shard counts, builds its trie with quantised gains and weights in memory-mapped files, looks all its n-grams up and sums by text.
-4. Sums come together by batch of texts.
+2. Every token goes to a shard with its two words before, packed by batch: others than frequent words by the
+   word, frequent words by the word before if that is not frequent, else by the pair, so no shard depends on one word.
+3. The third order needs c(v) of the middle word. It is in the broadcast if v is frequent and in the same shard if only w is. For
+   the rest each batch asks by word for the shards of its pairs, and the answers (counts over 1) are joined to the shards' tokens.
+4. A shard counts, builds its trie with quantised gains and weights in memory-mapped files, looks all its n-grams up and sums by text.
+5. Sums come together by batch of texts.
 
 The number of shards follows the number of tokens. Null texts are empty: the end only. Repeated rows are scored each and learned
 from each. An empty training set gives c = N = V = 0. Empty tables give no rows. Word hashes have 64 bits, context words 32 within
-their word. Other columns are left out.
+their word (for c(v) of one that is not frequent, within the shard). Other columns are left out.
 """
 
 from __future__ import annotations
@@ -97,14 +101,23 @@ def frequent(counts: DataFrame, texts: int) -> Frequent:
     return Frequent(rows["w"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), texts, tokens, distinct + (texts > 0))
 
 
-def sequences(w: Words, known: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def short_codes(full: np.ndarray) -> np.ndarray:
+    """32 bits of words that are not frequent, independent of their shard."""
+    return (mix(mix(full) ^ np.uint64(0x5DEECE66D)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) | np.uint32(1 << 31)
+
+
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(key) >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+
+
+def sequences(w: Words, known: Frequent, every_context: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each token of all texts: word (hash, or id if frequent), whether frequent, the 32-bit word
-    before, the one before that (0 unless the middle one is frequent), and the text."""
+    before, the one before that (0 if there is none or the middle one is no context), the text, and the place of the word before (-1: none)."""
     h = w.hashes()
     ids = known.ids(h)
     hot = ids >= 0
     full = np.where(hot, ids.astype(np.uint64), h | np.uint64(1 << 63))
-    short = np.where(hot, ids, (mix(h) & np.uint64(0x7FFFFFFF)).astype(np.int64) | (1 << 31)).astype(np.uint32)
+    short = np.where(hot, ids.astype(np.uint32), short_codes(full))
     n = np.diff(w.starts)
     out = w.starts + np.arange(w.n_texts + 1)  # one more token a text
     total = int(out[-1])
@@ -117,8 +130,8 @@ def sequences(w: Words, known: Frequent) -> tuple[np.ndarray, np.ndarray, np.nda
     before[place > 0] = code[np.flatnonzero(place > 0) - 1]
     two[place > 1] = code[np.flatnonzero(place > 1) - 2]
     two = two + np.uint32(1)
-    two[(place == 0) | (before >= FREQUENT + _FIRST_ID)] = _NONE
-    return word, is_hot, before, two, doc
+    two[(place == 0) | ((before >= FREQUENT + _FIRST_ID) & (not every_context))] = _NONE
+    return word, is_hot, before, two, doc, np.where(place > 0, np.arange(total) - 1, -1)
 
 
 def packed(word: np.ndarray, before: np.ndarray, two: np.ndarray, doc: np.ndarray) -> bytes:
@@ -146,7 +159,7 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.repeat(np.repeat(word, per_word), per_pair), np.repeat(before, per_pair), two, doc
 
 
-def dealt(docs: DataFrame, known, shards: int) -> DataFrame:
+def dealt(docs: DataFrame, known, shards: int, every_context: bool = False) -> DataFrame:
     """shard, batch and data: packed tokens for shards from 0, and for shard -1 what texts have without any shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +170,7 @@ def dealt(docs: DataFrame, known, shards: int) -> DataFrame:
                 b = whole.slice(at, _ROWS)
                 train = b.column(2).to_numpy(zero_copy_only=False)
                 w = words(as_array(b.column(1)), lower=True)
-                word, hot, before, two, doc = sequences(w, own)
+                word, hot, before, two, doc, prior = sequences(w, own, every_context)
                 n = np.diff(w.starts) + 1
                 c = own.counts[np.where(hot, word, 0).astype(np.int64)]
                 weight = np.log10(A / (c + A))
@@ -167,8 +180,8 @@ def dealt(docs: DataFrame, known, shards: int) -> DataFrame:
                 seen = split_sums((hot & (c > 0)).astype(np.int64), bounds)
                 ids = b.column(0).to_pylist()
                 info = zstandard.ZstdCompressor(level=1).compress(pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": n, "base": base, "score": score, "known": seen}).to_parquet())
-                key = np.where(hot, mix(word ^ mix(before.astype(np.uint64) + np.uint64(1))), mix(word))
-                shard = ((key >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+                after_rare = hot & (prior >= 0) & ~hot[prior]
+                shard = shard_of(np.where(after_rare, word[prior], np.where(hot, word ^ mix(before.astype(np.uint64) + np.uint64(1)), word)), shards)
                 order = np.argsort(shard, kind="stable")
                 names, first = np.unique(shard[order], return_index=True)
                 first = np.append(first, len(order))
@@ -181,10 +194,70 @@ def dealt(docs: DataFrame, known, shards: int) -> DataFrame:
     return docs.mapInArrow(work, "shard bigint, batch bigint, data binary, trained binary")
 
 
-def shard_sums(word: np.ndarray, before: np.ndarray, two: np.ndarray, train: np.ndarray, known: Frequent, folder: Path | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def context_requests(docs: DataFrame, known, shards: int) -> DataFrame:
+    """bucket and data: words that are not frequent, with the shards of such words after them in the rows with ``train``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Frequent = known.value
+        for b in pieces(batches, limit=6 << 20):
+            w = words(as_array(b.column(1)), lower=True)
+            h = w.hashes()
+            rare = own.ids(h) < 0
+            to = shard_of(h | np.uint64(1 << 63), shards)
+            first = np.ones(len(w.codes) + 1, bool)
+            first[w.starts] = True
+            learnt = np.repeat(b.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(w.starts))
+            at = np.flatnonzero(~first[1:-1] & rare[w.codes[:-1]] & rare[w.codes[1:]] & learnt[1:]) if len(w.codes) else np.zeros(0, np.int64)
+            v, target = np.divmod(np.unique(w.codes[at].astype(np.int64) * shards + to[w.codes[at + 1]]), shards)
+            bucket = h[v].view(np.int64) % shards
+            order = np.argsort(bucket, kind="stable")
+            names, start = np.unique(bucket[order], return_index=True)
+            data = []
+            for o in np.split(order, start[1:]) if len(names) else []:
+                each, size = np.unique(v[o], return_counts=True)  # v is in order
+                parts = [np.array([len(each)], np.int64), h[each], size.astype(np.uint32), target[o].astype(np.uint32)]
+                data.append(zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    return docs.mapInArrow(work, "bucket bigint, data binary")
+
+
+def _answers(asked: pd.DataFrame, counts: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """A row for each shard that a word of the bucket with a count over 1 was asked for: 32-bit words and counts."""
+    hashes, targets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for blob in asked["data"]:
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        hashes.append(np.repeat(np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n)))
+        targets.append(np.frombuffer(data, np.uint32, -1, 8 + 12 * n))
+    counts = counts.sort_values("w")
+    w, c = counts["w"].to_numpy(np.int64), counts["c"].to_numpy(np.int64)
+    h, target = np.concatenate(hashes).view(np.int64), np.concatenate(targets).astype(np.int64)
+    at = np.minimum(np.searchsorted(w, h), max(len(w) - 1, 0))
+    hit = np.flatnonzero(w[at] == h) if len(w) else np.zeros(0, np.int64)
+    target, at = np.divmod(np.unique(target[hit] * max(len(w), 1) + at[hit]), max(len(w), 1))
+    code = short_codes(w.view(np.uint64) | np.uint64(1 << 63))
+    names, start = np.unique(target, return_index=True)
+    out = []
+    for a in np.split(at, start[1:]) if len(names) else []:
+        a = a[np.argsort(code[a])]
+        out.append(zstandard.ZstdCompressor(level=1).compress(code[a].tobytes() + c[a].astype(np.uint64).tobytes()))
+    return pd.DataFrame({"shard": names, "batch": np.full(len(names), -1), "data": out, "trained": [b""] * len(names)})
+
+
+def context_counts(docs: DataFrame, counts: DataFrame, known, shards: int) -> DataFrame:
+    """Rows for shards with batch -1: counts over 1 of the words before their words where neither is frequent."""
+    tokens = known.value.tokens
+    rare = counts.where((F.col("c") > 1) & (F.col("c") * FREQUENT < tokens)).select(F.pmod("w", F.lit(shards)).alias("bucket"), "w", "c")
+    asked = context_requests(docs, known, shards).groupBy("bucket")
+    return asked.cogroup(rare.groupBy("bucket")).applyInPandas(lambda a, c: _answers(a, c, shards), "shard bigint, batch bigint, data binary, trained binary")
+
+
+def shard_sums(word: np.ndarray, before: np.ndarray, two: np.ndarray, train: np.ndarray, known: Frequent, folder: Path | None = None, contexts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token what its shard adds to the base sum and the score, and whether its word is known.
 
-    Counts come from the tokens with ``train``. Frequent words add only their pairs and triples here.
+    Counts come from the tokens with ``train``. Frequent words add only their pairs and triples here. ``contexts`` has 32-bit
+    words and counts of words that are not frequent and not in this shard; others that come before were seen once. None: they are no contexts.
     """
     names, w = np.unique(word, return_inverse=True)
     hot = names < np.uint64(1 << 63)
@@ -201,10 +274,17 @@ def shard_sums(word: np.ndarray, before: np.ndarray, two: np.ndarray, train: np.
 
     p1 = 10 ** log_p1
     seen = pair_count > 0
-    as_context = np.where(hot[pair_word] & (names[pair_word] != END), np.log10(B / (pair_count + B)), 0.0)
+    as_context = np.where((hot[pair_word] | (contexts is not None)) & (names[pair_word] != END), np.log10(B / (pair_count + B)), 0.0)
     gain2 = np.log10(1 + pair_count / (A * p1[pair_word]))
     level2 = TrieLevel.build(pair_word[seen], pair_before[seen], len(names), {"gain": gain2[seen], "weight": as_context[seen]})
-    before_count = known.counts[np.minimum(pair_before[tri_pair].astype(np.int64), len(known.counts) - 1)]
+    before_count = known.counts[np.minimum(pair_before, len(known.counts) - 1).astype(np.int64)]
+    if contexts is not None:
+        code, of_code = (np.concatenate(x) for x in zip(contexts, (short_codes(names[~hot]), count[~hot])))
+        code, first = np.unique(code, return_index=True)
+        far = np.flatnonzero(pair_before >= 1 << 31)
+        at = np.minimum(np.searchsorted(code, pair_before[far]), max(len(code) - 1, 0))
+        before_count[far] = np.where(code[at] == pair_before[far], of_code[first][at], 1.0) if len(code) else 1.0
+    before_count = before_count[tri_pair]
     p2 = (pair_count[tri_pair] + A * p1[pair_word[tri_pair]]) / (before_count + A)
     seen3 = tri_count > 0
     rank = np.cumsum(seen) - 1  # index of each pair among those seen
@@ -224,11 +304,15 @@ def shard_sums(word: np.ndarray, before: np.ndarray, two: np.ndarray, train: np.
     return np.where(rare, np.log10(count + 1), 0.0)[w], score, (rare & (count > 0))[w]
 
 
-def _shard(f: pd.DataFrame, known: Frequent) -> pd.DataFrame:
+def _shard(f: pd.DataFrame, known: Frequent, every_context: bool = False) -> pd.DataFrame:
     """A row for each batch: packed sums by text; rows of shard -1 go through."""
     if f["shard"].iloc[0] < 0:
         return pd.DataFrame({"batch": f["batch"], "info": True, "data": f["data"]})
-    f = f.sort_values("batch")
+    contexts = None
+    if every_context:
+        sent = [zstandard.ZstdDecompressor().decompress(d) for d in f.loc[f["batch"] < 0, "data"]]
+        contexts = tuple(np.concatenate([np.zeros(0, t), *(np.frombuffer(d, t, len(d) // 12, at * (len(d) // 12)) for d in sent)]) for t, at in ((np.uint32, 0), (np.uint64, 4)))
+    f = f[f["batch"] >= 0].sort_values("batch")
     parts = [unpacked(d) for d in f["data"]]
     sizes = [len(p[0]) for p in parts]
     word, before, two, doc = (np.concatenate(x) for x in zip(*parts))
@@ -236,7 +320,7 @@ def _shard(f: pd.DataFrame, known: Frequent) -> pd.DataFrame:
     batch = np.repeat(np.arange(len(sizes)), sizes)
     train = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[d].astype(np.float64) for t, d in zip(f["trained"], np.split(doc, np.cumsum(sizes)[:-1]))])
     with tempfile.TemporaryDirectory() as folder:
-        base, score, seen = shard_sums(word, before, two, train, known, Path(folder))
+        base, score, seen = shard_sums(word, before, two, train, known, Path(folder), contexts)
     place = batch.astype(np.int64) << 16 | doc.astype(np.int64)
     spot, at = np.unique(place, return_inverse=True)
     out = np.zeros(len(spot), _SUM)
@@ -254,7 +338,7 @@ def _batch(f: pd.DataFrame, tokens: int, distinct: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": own["doc_id"], "n_tokens": n, "n_known": own["known"].to_numpy() + add["known"].astype(np.int64), "train_tokens": tokens, "base_score": own["base"].to_numpy() + add["base"] - n * math.log10(tokens + distinct + 1), "score": own["score"].to_numpy() + add["score"]})
 
 
-def score(docs: DataFrame, learn: Column, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(docs: DataFrame, learn: Column, shard_tokens: int = SHARD_TOKENS, every_context: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of each row.
 
     ``docs`` should be a table: it is read more than once and must give the same rows in the same partitions.
@@ -262,15 +346,19 @@ def score(docs: DataFrame, learn: Column, shard_tokens: int = SHARD_TOKENS) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     texts, every, size = rows.agg(F.count_if("train"), F.count("*"), F.sum(F.octet_length("text"))).first()
-    known = frequent(stored(word_counts(rows), "counts"), texts)
+    counts = stored(word_counts(rows), "counts")
+    known = frequent(counts, texts)
     share = max(texts, 1) / max(every, 1)
     shards = max(1, math.ceil((known.tokens / share if texts else (size or 0) / 6) / shard_tokens))
     sent = spark.sparkContext.broadcast(known)
-    sums = dealt(rows, sent, shards).groupBy("shard", F.when(F.col("shard") < 0, F.col("batch")).otherwise(-1).alias("own")).applyInPandas(lambda f: _shard(f, sent.value), "batch bigint, info boolean, data binary")
+    tokens_of = dealt(rows, sent, shards, every_context)
+    if every_context:
+        tokens_of = tokens_of.unionByName(context_counts(rows, counts, sent, shards))
+    sums = tokens_of.groupBy("shard", F.when(F.col("shard") < 0, F.col("batch")).otherwise(-1).alias("own")).applyInPandas(lambda f: _shard(f, sent.value, every_context), "batch bigint, info boolean, data binary")
     tokens, distinct = known.tokens, known.distinct
     return sums.groupBy("batch").applyInPandas(lambda f: _batch(f, tokens, distinct), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
-    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), fold(parts=7) != 2)
+    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), fold(parts=7) != 2, every_context=True)
     return out.select("doc_id", (fold(parts=7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -114,3 +114,36 @@ def test_distribution_is_proper():
     base = direct(rows + [(9, "a b")] + probes, [True] * 3 + [False] * 5)
     end = base[3][4]
     assert end < 0 and len(base) == 8
+
+
+@pytest.mark.parametrize("often,shard", [(1 << 16, 3_000_000), (20, 300), (3, 90)])
+def test_rare_middle_words_are_contexts(spark, monkeypatch, often, shard):
+    """With every context the scores are those of a model without a bound on the middle word, whatever is broadcast."""
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choice(vocabulary[:20]) for _ in range(9))) for i in range(9)] + [(60, None), (61, ""), (62, rows[1][1]), (63, rows[2][1])]
+    train = [i % 3 > 0 for i in range(len(rows))]
+    want = direct(rows, train)  # by the bound of a small table: every word seen is a context
+    monkeypatch.setattr(N, "FREQUENT", often)
+    got = N.score(frame(spark, rows, train).repartition(3), __import__("pyspark.sql.functions", fromlist=["col"]).col("learn"), shard, every_context=True).collect()
+    mine = {r["doc_id"]: r for r in got}
+    assert len(got) == len(mine) == len(rows)
+    for (d, _), (n, known, _, base, total) in zip(rows, want):
+        assert (mine[d]["n_tokens"], mine[d]["n_known"]) == (n, known)
+        assert abs(mine[d]["base_score"] - base) < 1e-6 and abs(mine[d]["score"] - total) <= 0.05 * n
+
+
+def test_counts_of_rare_contexts_are_exact(monkeypatch):
+    """Third-order gains use c(v), from the shard, from the answers, or 1."""
+    known = N.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64), 4, 40, 12)
+    v, w = (np.array([x | 1 << 63], np.uint64) for x in (77, 99))
+    word, before = np.repeat(w, 3), np.repeat(N.short_codes(v), 3)
+    two, train = np.full(3, 9, np.uint32), np.ones(3)
+    for c in (1, 25):
+        sent = (N.short_codes(v), np.array([c], np.uint64)) if c > 1 else (np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+        _, score, _ = N.shard_sums(word, before, two, train, known, None, sent)
+        p1 = (3 + 1) / (40 + 12 + 1)
+        p2 = (3 + N.A * p1) / (c + N.A)
+        want = math.log10(p1) + math.log10(N.A / (3 + N.A)) + math.log10(1 + 3 / (N.A * p1)) + math.log10(N.B / (3 + N.B)) + math.log10(1 + 3 / (N.B * p2))
+        assert abs(score - want).max() < 1e-4
