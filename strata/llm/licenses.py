@@ -1,8 +1,8 @@
 """Licence scan by patience alignment of texts with notice templates.
 
-Words are lower-cased runs between blanks and ASCII punctuation. Every template has a cue, its word
-least common over all templates; around each cue of a document lies a window as wide as the template on either
-side. Template and window are aligned: words unique to both are anchors, the longest increasing
+Words are lower-cased runs between blanks and ASCII punctuation. Every template has cues, its words least common over all
+templates, which occur in it once more at least than words may be missing at ``coverage``, so that a covered notice keeps one;
+around each cue of a document lies a window as wide as the template on either side. Template and window are aligned: words unique to both are anchors, the longest increasing
 subsequence of anchors is kept, and the gaps between anchors are aligned the same way; a gap without unique words
 falls back to a longest common subsequence, bounded by the window. Coverage is the share of the template's words
 that are matched. A template is found if coverage reaches ``coverage`` and the matched words make up at least
@@ -14,6 +14,7 @@ place. Where places of licences overlap, the one with most matched words stays,
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -101,10 +102,15 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def least_matched(n: int, coverage: float) -> int:
+    """The least number of n words with a share of ``coverage``, compared as the scan compares it."""
+    return next(m for m in range(max(0, math.floor(coverage * n) - 1), n + 2) if m >= coverage * n)
+
+
 class Templates:
     """Templates as word hashes, by cue."""
 
-    def __init__(self, notices: dict[str, list[str]]):
+    def __init__(self, notices: dict[str, list[str]], coverage: float = COVERAGE):
         names = [(k, t) for k, ts in notices.items() for t in ts]
         w = words(pa.array([t for _, t in names], pa.string()), ENDS, lower=True)
         h = w.hashes()
@@ -113,8 +119,13 @@ class Templates:
         self.cues: dict[int, list[int]] = {}
         for k, (_, t) in enumerate(self.items):
             known = sorted(set(t), key=lambda x: (t.count(x) * common[x], common[x], t.index(x)))
-            for cue in known[: 1 + len(t) // 12]:  # more cues for long templates, as one may be changed
+            spare = len(t) - least_matched(len(t), coverage)
+            for cue in known:
                 self.cues.setdefault(cue, []).append(k)
+                spare -= t.count(cue)  # all of them may be changed
+                if spare < 0:
+                    break
+        self.words = [Counter(t) for _, t in self.items]
         self.vocabulary = np.sort(np.array(list(self.cues), np.uint64))
 
     def scan(self, doc: list[int], at: list[int], coverage: float, density: float) -> list[tuple[str, int, int, int, float]]:
@@ -125,9 +136,13 @@ class Templates:
             for k in self.cues[doc[p]]:
                 name, t = self.items[k]
                 low, high = max(0, p - len(t)), min(len(doc), p + len(t) + 1)
-                if (k, p) in done or len(set(t).intersection(doc[low:high])) < coverage * len(set(t)) - 2:
+                own, spare = self.words[k], len(t) - least_matched(len(t), coverage)
+                if (k, p) in done or len(own) - len(own.keys() & set(near := doc[low:high])) > spare:
                     continue
                 done.add((k, p))
+                here = Counter(x for x in near if x in own)
+                if sum(n - min(n, here[x]) for x, n in own.items()) > spare:
+                    continue
                 pairs = align(t, doc[low:high])
                 if len(pairs) < coverage * len(t):
                     continue
@@ -150,7 +165,7 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, *, covera
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Templates(notices)
+        own = Templates(notices, coverage)
         for b in pieces(batches):
             w = words(as_array(b.column(1)), ENDS, lower=True)
             h = w.hashes()

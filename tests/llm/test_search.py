@@ -121,3 +121,20 @@ def test_each_notice_is_found(spark, name):
         if k == name:
             found = own.scan(t, [p for p, x in enumerate(t) if x in own.cues], 0.85, 0.6)
             assert name in {f[0] for f in found} or i < 0
+
+
+@pytest.mark.parametrize("k", range(sum(map(len, licenses.NOTICES.values()))))
+def test_notices_with_their_rarest_words_changed_are_found(k):
+    """As many words as coverage allows are changed, single ones first; also where every changed word occurs once."""
+    own = licenses.Templates(licenses.NOTICES)
+    name, t = own.items[k]
+    spare = len(t) - math.ceil(0.85 * len(t))
+    everywhere = [x for _, other in own.items for x in set(other)]
+    order = sorted(range(len(t)), key=lambda i: (t.count(t[i]) * everywhere.count(t[i]), everywhere.count(t[i]), t.index(t[i])))
+    changed = list(t)
+    for i in order[:spare]:
+        changed[i] = 10**6 + i
+    doc = [*range(50), *changed, *range(100, 150)]
+    assert len(licenses.align(t, changed)) >= 0.85 * len(t)
+    found = own.scan(doc, [p for p, x in enumerate(doc) if x in own.cues], 0.85, 0.6)
+    assert any(f[1] >= 50 and f[2] < 50 + len(t) for f in found)
