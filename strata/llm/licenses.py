@@ -8,14 +8,15 @@ falls back to a longest common subsequence, bounded by the window. Coverage is t
 that are matched. A template is found if coverage reaches ``coverage`` and the matched words make up at least
 ``density`` of the span they lie in. Windows overlap whatever precedes or follows a cue, so no place is left out.
 
-Of several places or templates of a licence the best coverage is kept, then the longest template, then the earliest
-place. Where places of licences overlap, the one with most matched words stays, then the best covered. Null and empty texts have no licence. Repeated rows each get their rows. Empty tables give no rows. Other columns are left out.
+All places of all licences are kept until overlaps are settled: where places overlap, the one with most matched words stays, then the
+best covered; within it other places of its own licence stay too. Of those that remain the best coverage of a licence is taken,
+then the longest template, then the earliest place. Null and empty texts have no licence. Repeated rows each get their rows. Empty tables give no rows. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -130,7 +131,7 @@ class Templates:
 
     def scan(self, doc: list[int], at: list[int], coverage: float, density: float) -> list[tuple[str, int, int, int, float]]:
         """Licences of a document with cues at the places ``at``."""
-        best: dict[str, tuple] = {}
+        places: dict[tuple[str, int, int, int], int] = {}
         done: set[tuple[int, int]] = set()
         for p in at:
             for k in self.cues[doc[p]]:
@@ -149,14 +150,21 @@ class Templates:
                 first, last = low + pairs[0][1], low + pairs[-1][1]
                 if len(pairs) < density * (last - first + 1):
                     continue
-                found = (len(pairs) / len(t), len(t), -first, last, len(pairs))
-                if name not in best or found > best[name]:
-                    best[name] = found
-        taken: list[tuple[str, int, int, int, float]] = []
-        for name, f in sorted(best.items(), key=lambda x: (-x[1][4], -x[1][0], x[0])):
-            if all(f[3] < other[1] or -f[2] > other[2] for other in taken):
-                taken.append((name, -f[2], f[3], f[4], f[0]))
-        return sorted(taken)
+                places[name, len(t), first, last] = max(len(pairs), places.get((name, len(t), first, last), 0))
+        starts: list[int] = []
+        taken: list[tuple[int, str]] = []  # last word and licence of places that don't overlap, by first word
+        order = sorted(((name, n, first, last, m) for (name, n, first, last), m in places.items()), key=lambda x: (-x[4], -x[4] / x[1], x[0], x[2], x[3]))
+        best: dict[str, tuple] = {}
+        for name, _, first, last, _ in order:
+            i = bisect_right(starts, last)
+            if not i or taken[i - 1][0] < first:
+                starts.insert(i, first)
+                taken.insert(i, (last, name))
+        for name, n, first, last, m in order:
+            i = bisect_right(starts, first) - 1
+            if i >= 0 and taken[i][0] >= last and taken[i][1] == name:
+                best[name] = max(best.get(name, (0,)), (m / n, n, -first, last, m))
+        return sorted((name, -f[2], f[3], f[4], f[0]) for name, f in best.items())
 
 
 def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, *, coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:

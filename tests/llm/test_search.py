@@ -138,3 +138,17 @@ def test_notices_with_their_rarest_words_changed_are_found(k):
     assert len(licenses.align(t, changed)) >= 0.85 * len(t)
     found = own.scan(doc, [p for p, x in enumerate(doc) if x in own.cues], 0.85, 0.6)
     assert any(f[1] >= 50 and f[2] < 50 + len(t) for f in found)
+
+
+@pytest.mark.parametrize("name", ["LGPL-3.0", "AGPL-3.0"])
+@pytest.mark.parametrize("changed", [0, 1, 2])
+def test_a_licence_also_inside_another_is_found_where_it_stands_alone(name, changed):
+    own = licenses.Templates(licenses.NOTICES)
+    text = {k: t for k, t in own.items}  # the last template of each licence
+    alone = list(text[name])
+    for i in range(changed):
+        alone[5 + 10 * i] = 10**6 + i
+    doc = [*text["GPL-3.0"], *range(100), *alone]
+    found = {f[0]: f[1:] for f in own.scan(doc, [p for p, x in enumerate(doc) if x in own.cues], 0.85, 0.6)}
+    assert found["GPL-3.0"][:2] == (0, len(text["GPL-3.0"]) - 1)
+    assert found[name][0] >= len(text["GPL-3.0"]) + 100
