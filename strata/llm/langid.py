@@ -163,20 +163,32 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 6,
     return model
 
 
+def rates(counts: list[tuple[int, int]], per_label: int, chars: int) -> list[float]:
+    """Sampling rate of each label from its rows and characters: equal shares of ``chars``, what a label leaves going to the others."""
+    full = [min(1.0, per_label / n) for n, _ in counts]
+    out, left = list(full), float(chars)
+    order = sorted(range(len(counts)), key=lambda i: full[i] * counts[i][1])
+    for k, i in enumerate(order):
+        want = full[i] * counts[i][1]
+        given = min(want, left / (len(order) - k))
+        left -= given
+        out[i] = full[i] * given / want if want else full[i]
+    return out
+
+
 def fit(docs: DataFrame, learn: Column | None = None, *, per_label: int = 600, chars: int = 4_000_000) -> LanguageModel:
     """Train on at most about ``per_label`` texts of each label and ``chars`` characters of text.
 
     The sample takes rows by a hash of the id, at a rate from the count of each label, so it is the
-    same on every run. ``chars`` bounds what reaches the driver: longer samples lower the rates.
+    same on every run. ``chars`` bounds what reaches the driver: it is divided between the labels, so that only labels
+    with more than their share are thinned.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
     rate = F.lit(0)
-    most = sum(min(1.0, per_label / r["n"]) * r["c"] for r in counts)
-    for r in counts:
-        share = min(1.0, per_label / r["n"]) * min(1.0, chars / max(most, 1))
+    for r, share in zip(counts, rates([(r["n"], r["c"]) for r in counts], per_label, chars)):
         rate = F.when(F.col("lang") == r["lang"], F.lit(int(share * (1 << 20)))).otherwise(rate)
     sample = rows.where(spread() < rate).select("text", "lang", "doc_id").toPandas() if counts else None
     if sample is None or not len(sample):

@@ -77,3 +77,15 @@ def test_votes_equal_brute_force(spark):
             w |= {j: max(c[j], 0) for j in ties}
             assert np.isclose(s, sum(v * model.labels[j] for j, v in w.items()) / sum(w.values()), atol=1e-5)
     assert F is not None
+
+
+def test_rare_labels_are_taken_whole(spark, monkeypatch):
+    """The bound on characters thins the labels with most text only."""
+    rows = [(i, "lorem ipsum " * 200, "aa") for i in range(300)] + [(1000 + i, "kort tekst her", "bb") for i in range(4)]
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: taken.extend(zip(texts, langs)))
+    langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), chars=50_000)
+    assert sum(x == "bb" for _, x in taken) == 4
+    assert 0 < sum(len(t) for t, _ in taken) < 100_000
+    assert langid.rates([(10, 100), (10, 1000)], 600, 5000) == [1.0, 1.0]
+    assert langid.rates([(10, 100), (1200, 20_000), (600, 10_000)], 600, 4100) == [1.0, 0.1, 0.2]
