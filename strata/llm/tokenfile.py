@@ -23,33 +23,52 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.shared import shared_dir
-from strata.llm.text import as_array, pieces, ragged, raw, cut
+from strata.llm.text import as_array, cut, pieces, ragged, raw, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SCHEMA = "doc_id bigint, part int, first bigint, n_tokens bigint, ids array<int>"
 _KNOWN = 500_000
 _MARK = "<|endoftext|>"
-_MARKS = b"!#$%&*+,-./:;=?@|"
+_MARKS = "!#$%&*+,-./:;=?@|"
 
 
-def _parts(chunk: bytes) -> tuple[bytes, bytes]:
-    """A chunk as what is before its last ASCII marks, and those, if a letter or digit stands between.
+#: Whether two bytes are a letter that stays one character in lower case, by the first byte times 256 plus the second.
+_LETTER = np.zeros(1 << 16, bool)
+for _code in range(0xC0, 0x280):
+    _pair = chr(_code).encode()
+    _LETTER[_pair[0] << 8 | _pair[1]] = chr(_code).isalpha() and len(chr(_code).lower()) == 1
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
 
-    The tokenizer merges marks with marks but never with letters or digits. It lower-cases, so an
-    ASCII chunk can be lower-cased first; others are left, as they may compose.
+
+def parts_of(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Chunks as what is before their last ASCII marks, and those (else empty), if a letter or digit stands between.
+
+    The tokenizer merges marks with marks but never with letters or digits. It lower-cases, so a part in
+    ASCII can be lower-cased first; others are left, as they may compose. Special tokens are found before that,
+    so a chunk that may hold one stays whole and as it is.
     """
-    body = chunk.rstrip(_MARKS)
-    if body.isascii():
-        return (body.lower(), chunk[len(body) :]) if body[-1:].isalnum() else (chunk.lower(), b"") if chunk.isascii() else (chunk, b"")
-    if body[-1:].isalnum() or 0xC3 <= body[-2] <= 0xC9 and (last := body[-2:].decode()).isalpha() and len(last.lower()) == 1:
-        return body, chunk[len(body) :]
-    return chunk, b""
+    body = pc.ascii_rtrim(chunks, characters=_MARKS)
+    letters, off = raw(body)
+    last, full = off[1:] - 1, np.diff(off) > 0
+    one = letters[np.where(full, last, 0)] if len(letters) else np.zeros(len(chunks), np.uint8)
+    before = letters[np.where(np.diff(off) > 1, last - 1, 0)] if len(letters) else one
+    ends = full & (_ALNUM[one] | ((np.diff(off) > 1) & _LETTER[before.astype(np.int64) << 8 | one]))
+    ends &= ~pc.match_substring(chunks, "<|").to_numpy(zero_copy_only=False)
+    head = pc.if_else(pa.array(ends), body, chunks)
+    plain = pc.and_not(pc.string_is_ascii(head), pc.match_substring(head, "<|"))
+    chars, at = raw(chunks)
+    begin = at[:-1] + np.diff(off)
+    rest = np.where(ends, at[1:] - begin, 0)
+    where = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+    tails = np.ascontiguousarray(chars[ragged(begin, rest)])
+    return pc.if_else(plain, pc.ascii_lower(head), head), pa.Array.from_buffers(pa.string(), len(chunks), [None, pa.py_buffer(where), pa.py_buffer(tails)])
 
 
 class ChunkEncoder:
@@ -60,37 +79,48 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         self.mark = self.tokenizer.token_to_id(_MARK)
+        self.forget()
+
+    def forget(self) -> None:
+        #: Parts met so far, their ids one after another, and where each part's ids start.
+        self.known, self.ids, self.off = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, parts: list[bytes]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Encode parts in few calls: a special token between parts keeps them apart in the ids."""
-        known = self.known
-        alone = [p for p in parts if b"<|" in p] if self.mark is not None else parts
-        for p in alone:
-            known[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, np.int32).tobytes()
-        rest = [p for p in parts if p not in known]
-        for at in range(0, len(rest), 4000):
-            some = rest[at : at + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([_MARK.join(p.decode() for p in some)], add_special_tokens=False)[0].ids, np.int32)
-            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                known[p] = data[begin:end]
-                begin = end + 4
+        alone = pc.match_substring(new, "<|") if self.mark is not None else pa.array(np.ones(len(new), bool))
+        single, rest = new.filter(alone), new.filter(pc.invert(alone))
+        found, ends, total = [self.ids], [self.off], len(self.ids)
+        for at in range(0, len(rest), 250):
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some := rest.slice(at, 250))], pa.int32()), some), _MARK)[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+            marks = ids == self.mark
+            ids, stops = ids[~marks], np.append(np.flatnonzero(marks) - np.arange(len(some) - 1), len(ids) - len(some) + 1)
+            found.append(ids)
+            ends.append(total + stops)
+            total += len(ids)
+        for p in single.to_pylist():
+            found.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int32))
+            total += len(found[-1])
+            ends.append(np.array([total]))
+        self.known, self.ids, self.off = pa.concat_arrays([self.known, rest, single]), np.concatenate(found), np.concatenate(ends)
 
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
         w = cut(*raw(texts), blanks=b" \n")
         if len(self.known) > _KNOWN:
-            self.known = {}
-        known = self.known
-        split = [_parts(c) for c in w.distinct.to_pylist()]
-        new = {p for pair in split for p in pair if p not in known}
-        self._learn(list(new))
-        coded = [known[a] + known[b] for a, b in split]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.int32)
+            self.forget()
+        coded = pa.concat_arrays(parts_of(w.distinct.view(pa.string()))).dictionary_encode()
+        parts = coded.dictionary
+        place = pc.index_in(parts, self.known)
+        if place.null_count:
+            self._learn(parts.filter(place.is_null()))
+            place = pc.index_in(parts, self.known)
+        part = place.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        both = part.reshape(2, -1).T  # head and tail of each distinct chunk
+        length = np.diff(self.off)[both]
+        sizes = length.sum(axis=1)
+        flat = self.ids[ragged(self.off[both].reshape(-1), length.reshape(-1))]
         begins = np.cumsum(sizes) - sizes
         ids = flat[ragged(begins[w.codes], sizes[w.codes])]
         off = np.concatenate([[0], np.cumsum(sizes[w.codes])])[w.starts]
@@ -131,7 +161,8 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None, parts: int | None
                 names=["doc_id", "part", "first", "n_tokens", "ids"],
             )
             seen += int(off[-1])
-        own.known = {}  # the worker may serve other stages next
+        own.forget()  # the worker may serve other stages next
+        tidy()
 
     return rows.mapInArrow(work, SCHEMA)
 

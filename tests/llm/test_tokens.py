@@ -19,7 +19,7 @@ CODEC = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 TIK = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.ranks, special_tokens={})
 WORD = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 CHUNKS = tokenfile.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
-PIECES = ["a", "B", "'s", "'", "́", "̸", ">", ".", ",", "\x85", "\x1c", "J̌", "<|endoftext|>", "<|", "|>", "É", " ", "\n", "\t", "1", "²", "İ", "ß", "ａ", "😀", "'LL", "don't", "#", "re", "the ", "日本"]
+PIECES = ["a", "B", "'s", "'", "́", "̸", ">", ".", ",", "\x85", "\x1c", "J̌", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "É", " ", "\n", "\t", "1", "²", "İ", "ß", "ａ", "😀", "'LL", "don't", "#", "re", "the ", "日本"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -75,6 +75,19 @@ def test_chunk_encoder_equals_the_library():
         assert e.ids == ids[off[i] : off[i + 1]].tolist(), texts[i]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "<|", "ENDOFTEXT", "endoftext", "|>", "A", "ñ", "Ÿ"]), max_size=25).map("".join))
+def test_special_tokens_are_matched_as_written(text):
+    ids, _ = CHUNKS.encode(pa.array([text]), None)
+    assert ids.tolist() == WORD.encode(text, add_special_tokens=False).ids
+
+
+def test_special_token_in_capitals():
+    assert WORD.encode("<|ENDOFTEXT|>").ids != WORD.encode("<|endoftext|>").ids
+    for text in ("<|ENDOFTEXT|>", "a<|EndOfText|>b", "x<|endoftext|>.", "<|startoftext|>A"):
+        assert CHUNKS.encode(pa.array([text]), None)[0].tolist() == WORD.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, edge_docs, no_docs, tmp_path):
     path = f"file://{tmp_path}/t"
     tokenfile.write_tokens(edge_docs.repartition(3), path, row_group_bytes=1 << 20)
