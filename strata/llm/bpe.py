@@ -3,10 +3,10 @@
 A sequence of vocabulary tokens is the BPE encoding of its bytes exactly if each token encodes to itself and each
 two neighbours encode to themselves. So there is a nondeterministic transducer that walks the
 vocabulary's trie and may end a token wherever the token agrees with the one before it. It is unambiguous:
-each prefix of the input has one valid tokenisation. The machine here determinises it on the fly: a
-state is the set of live guesses (trie node, token before, outputs not yet sent); outputs that all
-guesses share are sent at once, so a token leaves as soon as the bytes after it, no more than the
-longest token, settle it. States and moves are kept up to a bound and then built anew.
+each prefix of the input has one valid tokenisation, which one token ends. The machine here determinises it on the fly: a
+state is the set of live guesses (trie node, token before), and a move sends the token that ends the prefix read so far. A guess
+that is still live begins at most the longest token back, so after that many bytes all guesses go back to the
+same tokens, which are emitted then. States and moves are kept up to a bound of bytes and then built anew.
 
 Nulls are empty texts; empty texts give no ids and empty bytes. Long runs are read in linear time.
 Repeated rows are each encoded. Empty tables give empty results; columns named as the results are replaced.
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.shared import widened
-from strata.llm.text import as_array, pieces, ragged
+from strata.llm.text import Coded, Words, as_array, pieces, ragged, raw
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-GUESSES, REST = -1, -2
+_BETWEEN = (0, 0, 0, 0)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,15 +38,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class State(dict):
+    """A byte's move: (next state, token that ends there). Live guesses: token before + 1 << 32 | trie node."""
+
+    __slots__ = ("machine", "guesses")
+
+    def __init__(self, machine: Transducer, guesses: tuple[int, ...]):
+        self.machine, self.guesses = machine, guesses
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        return self.machine._move(self, byte)
+
+
 class Transducer:
     """Encodes byte strings; moves are built when first taken."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
-        self.ranks, self.most_states = ranks, most_states
+    def __init__(self, ranks: dict[bytes, int], most_bytes: int = 160 << 20):
+        self.ranks, self.most_bytes = ranks, most_bytes
         self.piece = {v: k for k, v in ranks.items()}
         #: The trie: (node << 8 | byte) -> node, the token that ends at a node, and whether a node goes on.
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         self.goes_on = bytearray(1)
         for word, rank in ranks.items():
             node = 0
@@ -55,22 +68,30 @@ class Transducer:
                 if step is None:
                     step = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                     self.goes_on[node] = 1
                     self.goes_on.append(0)
                 node = step
             self.token_at[node] = rank
+        self.size = {rank: len(word) for word, rank in ranks.items()}
+        self.longest = max(self.size.values(), default=1)
+        #: For a token the last (or first) parts that it is merged from, innermost first, each with the rank that ends it.
+        self.spines: dict[int, tuple[tuple, tuple] | None] = {}
         self.agrees: dict[int, bool] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        #: A state maps a byte to (next state, outputs sent), GUESSES to its live guesses and REST to the outputs at an end.
-        self.start: dict = {GUESSES: ((0, -1, ()),), REST: ()}
-        self.states: dict[tuple, dict] = {self.start[GUESSES]: self.start}
-        if len(self.agrees) > 4 * self.most_states:
-            self.agrees = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by merging the lowest-ranked neighbours; defines which tokens agree."""
+        self.states: dict[tuple, State] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """Drop all states and moves. States refer to each other, so each is emptied."""
+        for state in self.states.values():
+            state.clear()
+        self.start = State(self, (0,))
+        self.states = {self.start.guesses: self.start}
+        self.used = 0
+        self.agrees = {}
+
+    def merged(self, data: bytes, steps: list[tuple[int, int]] | None = None) -> list[int]:
+        """The encoding by merging the lowest-ranked neighbours; defines which tokens agree. ``steps`` gets each merge's rank and place."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             best, at = None, -1
@@ -80,62 +101,140 @@ class Transducer:
                     best, at = r, i
             if best is None:
                 break
+            if steps is not None:
+                steps.append((best, at, len(parts)))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _agree(self, before: int, token: int) -> bool:
-        want = [token] if before < 0 else [before, token]
-        found = self.agrees[before << 32 | token] = self.merged((self.piece[before] if before >= 0 else b"") + self.piece[token]) == want
+    def _spine(self, token: int) -> tuple[tuple, tuple] | None:
+        """The parts at the right and the left edge over time; None if ranks don't rise, () if it doesn't encode to itself."""
+        steps: list[tuple[int, int, int]] = []
+        data = self.piece[token]
+        if self.merged(data, steps) != [token]:
+            found = ((), ())
+        elif any(a[0] > b[0] for a, b in zip(steps, steps[1:])):
+            found = None
+        else:
+            right, left = [data[-1:]], [data[:1]]
+            ends = ([], [])
+            for rank, at, n in steps:
+                made = self.piece[rank]
+                if at == n - 2:
+                    ends[0].append(rank)
+                    right.append(made)
+                if at == 0:
+                    ends[1].append(rank)
+                    left.append(made)
+            found = tuple(tuple(zip(parts, (*stops, 1 << 60))) for parts, stops in zip((right, left), ends))
+        self.spines[token] = found
         return found
 
-    def _move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        guesses, whole = [], None
+    def _agree(self, before: int, token: int) -> bool:
+        """Whether the bytes of both tokens encode to just them: no merge across the border comes first."""
+        spines = self.spines
+        a = spines[before] if before in spines else self._spine(before) if before >= 0 else ()
+        b = spines[token] if token in spines else self._spine(token)
+        if a is None or b is None:
+            ok = self.merged((self.piece[before] if before >= 0 else b"") + self.piece[token]) == ([before, token] if before >= 0 else [token])
+        elif before < 0:
+            ok = bool(b[0])
+        elif not a[0] or not b[0]:
+            ok = False
+        else:
+            x, y, ok, get = a[0], b[1], True, self.ranks.get
+            i = j = 0
+            while True:
+                (left, stop), (right, end) = x[i], y[j]
+                rank = get(left + right)
+                if rank is not None and rank < stop and rank <= end:
+                    ok = False
+                    break
+                if stop <= end:
+                    i += 1
+                    if i == len(x):
+                        break
+                else:
+                    j += 1
+        if len(self.agrees) > 100_000:
+            self.agrees = {}
+        self.agrees[before + 1 << 32 | token] = ok
+        return ok
+
+    def _move(self, state: State, byte: int) -> tuple[State, int]:
+        guesses, whole = [], -1
         child, token_at, goes_on, agrees = self.child, self.token_at, self.goes_on, self.agrees
-        for node, before, out in state[GUESSES]:
-            step = child.get(node << 8 | byte)
+        for guess in state.guesses:
+            step = child.get((guess & 0xFFFFFFFF) << 8 | byte)
             if step is None:
                 continue
-            if whole is None and (token := token_at[step]) >= 0:
-                ok = agrees.get(before << 32 | token)
-                if self._agree(before, token) if ok is None else ok:
-                    whole = (0, token, (*out, token))
+            if whole < 0 and (token := token_at[step]) >= 0:
+                pair = guess >> 32 << 32 | token
+                ok = agrees.get(pair)
+                if self._agree((guess >> 32) - 1, token) if ok is None else ok:
+                    whole = token
             if goes_on[step]:
-                guesses.append((step, before, out))
-        if whole is None:
+                guesses.append(guess >> 32 << 32 | step)
+        if whole < 0:
             raise ValueError(f"no token ends with byte {byte}: the vocabulary lacks single bytes")
-        sent = ()
-        if not guesses:  # all other guesses ended
-            key, sent = ((0, whole[1], ()),), whole[2]
-        else:
-            guesses.append(whole)
-            shared, outs = 0, [g[2] for g in guesses]
-            for x, y in zip(min(outs), max(outs)):
-                if x != y:
-                    break
-                shared += 1
-            if shared:
-                sent = whole[2][:shared]
-                key = tuple([(node, before, out[shared:]) for node, before, out in guesses])
-            else:
-                key = tuple(guesses)
+        guesses.append(whole + 1 << 32)
+        key = tuple(guesses)
         to = self.states.get(key)
         if to is None:
-            to = self.states[key] = {GUESSES: key, REST: key[-1][2]}
-        found = state[byte] = (to, sent)
+            if self.used > self.most_bytes:
+                self.restart()
+            self.used += 700 + 50 * len(key)  # with its moves, about
+            to = self.states[key] = State(self, key)
+        found = state[byte] = (to, whole)
         return found
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.most_states:
-            self._restart()
-        state, out = self.start, []
+        if len(data) > 1 << 14:
+            stream = TokenStream(self)
+            return [*chain.from_iterable(stream.feed(data[i : i + 4096]) for i in range(0, len(data), 4096)), *stream.finish()]
+        state, ends = self.start, []
         for b in data:
-            step = state.get(b)
-            if step is None:
-                step = self._move(state, b)
-            state, sent = step
-            if sent:
-                out.extend(sent)
-        out.extend(state[REST])
+            state, token = state[b]
+            ends.append(token)
+        size, at, out = self.size, len(ends), []
+        while at:
+            out.append(token := ends[at - 1])
+            at -= size[token]
+        out.reverse()
+        return out
+
+
+class TokenStream:
+    """Incremental encoder of one word: feed bytes, get the tokens that no later byte can change."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.state = machine, machine.start
+        self.ends: list[int] = []  # for each byte not yet emitted the token that ends there
+
+    def _back(self, at: int, base: int = 0) -> list[int]:
+        out = []
+        while at > base:
+            out.append(token := self.ends[at - 1])
+            at -= self.machine.size[token]
+        return out[::-1]
+
+    def feed(self, data: bytes) -> list[int]:
+        m, state = self.machine, self.state
+        for b in data:
+            state, token = state[b]
+            self.ends.append(token)
+        self.state = state
+        live = {len(self.ends) - m.depth[g & 0xFFFFFFFF] for g in state.guesses}
+        while len(live) > 1:  # back to where the guesses' tokens meet
+            live.remove(at := max(live))
+            live.add(at - m.size[self.ends[at - 1]])
+        at = live.pop()
+        out = self._back(at)
+        del self.ends[:at]
+        return out
+
+    def finish(self) -> list[int]:
+        out = self._back(len(self.ends))
+        self.state, self.ends = self.machine.start, []
         return out
 
 
@@ -147,12 +246,14 @@ class Utf8Stream:
     _lead = {b: (n, low, high) for first, last, n, low, high in LEADS for b in range(first, last + 1)}
 
     def __init__(self) -> None:
-        self.state: tuple[int, int, int, int] = (0, 0, 0, 0)  # bytes to come, bits so far, range of the next byte
+        self.state: tuple[int, int, int, int] = _BETWEEN  # bytes to come, bits so far, range of the next byte
 
     @classmethod
-    def step(cls, state: tuple[int, int, int, int], data: bytes) -> tuple[tuple[int, int, int, int], str]:
+    def step(cls, state: tuple[int, int, int, int], data: bytes) -> tuple[tuple[int, int, int, int], str, bool]:
+        """The next state, the text settled, and whether bad bytes were met."""
         left, bits, low, high = state
         out: list[str] = []
+        bad = False
         for b in data:
             if left:
                 if low <= b <= high:
@@ -160,7 +261,7 @@ class Utf8Stream:
                     if not left:
                         out.append(chr(bits))
                     continue
-                left = 0
+                left, bad = 0, True
                 out.append("�")
             if b < 0x80:
                 out.append(chr(b))
@@ -168,15 +269,16 @@ class Utf8Stream:
                 left, low, high = lead
                 bits = b & (0x3F >> left)
             else:
+                bad = True
                 out.append("�")
-        return (left, bits, low, high) if left else (0, 0, 0, 0), "".join(out)
+        return (left, bits, low, high) if left else _BETWEEN, "".join(out), bad
 
     def feed(self, data: bytes) -> str:
-        self.state, text = self.step(self.state, data)
+        self.state, text, _ = self.step(self.state, data)
         return text
 
     def finish(self) -> str:
-        left, self.state = self.state[0], (0, 0, 0, 0)
+        left, self.state = self.state[0], _BETWEEN
         return "�" if left else ""
 
 
@@ -187,7 +289,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self._machine: Transducer | None = None
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Coded()
         top = max(self.ranks.values()) + 1
         table = [b""] * top
         for word, rank in self.ranks.items():
@@ -196,6 +298,7 @@ class Codec:
         self.sizes = np.fromiter(map(len, table), np.int64, top)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
+        #: Steps of the UTF-8 automaton: (state, token) -> (state, text, whether bad bytes were met).
         self.moves: dict[tuple, tuple] = {}
         #: Tokens of whole characters: they lead from between two characters to between two characters.
         self.closed = np.fromiter((w.isascii() or _whole(w) for w in table), bool, top)
@@ -207,59 +310,108 @@ class Codec:
             self._machine = Transducer(self.ranks)
         return self._machine
 
-    def forget(self) -> None:
-        """Drop what was learnt from texts, but not the vocabulary."""
-        self.known, self.moves = {}, {}
-        if self._machine is not None:
-            self._machine._restart()
-            self._machine.agrees = {}
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
-        found = [self.split(t) for t in texts]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        w = blank_led(*raw(texts))
+        self.known.trim()
+        at = self.known.find(w.distinct.view(pa.string()), self._learn)
+        begins, sizes = self.known.off[at][w.codes], np.diff(self.known.off)[at][w.codes]
+        return self.known.ids[ragged(begins, sizes)], np.concatenate([[0], np.cumsum(sizes)])[w.starts]
+
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cut chunks into words, and encode each distinct word once."""
+        chars, off = raw(new)
+        long = np.diff(off) > 1
+        led = np.zeros(len(new), bool)
+        led[long] = (chars[off[:-1][long]] == 0x20) & _VISIBLE[chars[off[:-1][long] + 1]]
+        order = np.argsort(led, kind="stable")  # chunks led by a blank may stand one after another
+        texts = new.take(pa.array(order)).to_pylist()
+        first = len(new) - int(led.sum())
+        found = [*map(self.split, texts[:first]), self.split("".join(texts[first:]))]
         index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
-        at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, int(bounds[-1]))
-        del found
-        if len(self.known) > 300_000:
-            self.known = {}
-        known, encode = self.known, self.machine.encode
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+        encode, coded = self.machine.encode, [()] * len(index)
         collects = gc.isenabled()
-        gc.disable()  # states are many and hold no cycles
-        for word in sorted(index.keys() - known.keys()):  # neighbours share their first moves
-            known[word] = tuple(encode(word.encode()))
-        coded = [known[word] for word in index]
+        gc.disable()  # states are many; those dropped are emptied, so that no cycle is left
+        for word in sorted(index):  # neighbours share their first moves
+            coded[index[word]] = encode(word.encode())
         if collects:
             gc.enable()
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        ids = flat[ragged(begins[at], sizes[at])]
-        total = np.concatenate([[0], np.cumsum(sizes[at])])
-        return ids, total[bounds]
+        ids = flat[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        ends = np.cumsum(np.fromiter(map(len, index), np.int64, len(index))[at])
+        words = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))), side="right")
+        size = np.diff(np.concatenate([[0], np.cumsum(sizes[at])])[words], prepend=0)
+        back = np.argsort(order)
+        return ids[ragged((np.cumsum(size) - size)[back], size[back])], size[back]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes[ragged(self.begins[ids], self.sizes[ids])].tobytes()
 
-    def decode_text(self, ids: np.ndarray, data: bytes | None = None) -> str:
-        """Text by the UTF-8 automaton; runs of closed tokens need no stepping."""
-        if self.closed[ids].all():
-            return (self.decode(ids) if data is None else data).decode()
-        state, out = (0, 0, 0, 0), []
+    def decode_texts(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
+        """The texts of ids[off[i]:off[i + 1]] by the UTF-8 automaton.
+
+        A closed token leads from between two characters to between two characters and its text is its bytes, so only
+        the runs of other tokens are stepped; where the automaton finds bad bytes, the text is put together from its pieces.
+        """
+        sizes = self.sizes[ids]
+        where = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.bytes[ragged(self.begins[ids], sizes)]
+        bounds = where[off]
+        bad: set[int] = set()
+        open_ = np.flatnonzero(~self.closed[ids])
+        if len(open_):
+            text = np.searchsorted(off, open_, side="right") - 1
+            last = np.append((open_[1:] != open_[:-1] + 1) | (text[1:] != text[:-1]), True)  # a closed token or an end follows
+            state, moves = _BETWEEN, self.moves
+            for i, t, stop in zip(ids[open_].tolist(), text.tolist(), last.tolist()):
+                step = moves.get((state, i))
+                if step is None:
+                    step = moves[state, i] = self._step(state, i)
+                state = step[0]
+                if step[2] or stop and state[0]:
+                    bad.add(t)
+                if stop:
+                    state = _BETWEEN
+        if len(bounds) > 1 and bounds[-1] > 0x7FFFFFFF:
+            raise ValueError("more than 2 GiB of text in a batch")
+        if not bad:
+            return pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+        return pa.array([self.decode_text(ids[off[i] : off[i + 1]]) if i in bad else data[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(len(off) - 1)], pa.string())
+
+    def _step(self, state: tuple, token: int) -> tuple[tuple, str, bool]:
+        if len(self.moves) > 100_000:
+            self.moves.clear()
+        return Utf8Stream.step(state, self.table[token])
+
+    def decode_text(self, ids: np.ndarray) -> str:
+        """Text of one run of ids, stepped token by token."""
+        state, out = _BETWEEN, []
         for i in ids.tolist():
-            step = self.moves.get((state, i))
-            if step is None:
-                step = Utf8Stream.step(state, self.table[i])
-                if len(self.moves) < 100_000:
-                    self.moves[state, i] = step
-            state = step[0]
-            out.append(step[1])
-        return "".join(out) + ("�" if state[0] else "")
+            state, text, _ = self._step(state, i)
+            out.append(text)
+        return "".join(out) + ("\ufffd" if state[0] else "")
+
+
+#: Bytes that begin a visible character for certain: ASCII marks, letters and digits, and lead bytes under which no blank lies.
+_VISIBLE = np.array([0x21 <= b <= 0x7E or 0xC3 <= b and b not in (0xE1, 0xE2, 0xE3) for b in range(256)])
+
+
+def blank_led(body: np.ndarray, off: np.ndarray) -> Words:
+    """Chunks of texts, cut before each blank that a visible character follows: every pattern of this kind has a border there."""
+    first = np.zeros(len(body) + 1, bool)
+    first[off[:-1][np.diff(off) > 0]] = True
+    first[:-2] |= (body[:-1] == 0x20) & _VISIBLE[body[1:]]
+    at = np.flatnonzero(first[: len(body)])
+    chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(body)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+    coded = chunks.dictionary_encode()
+    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(at, off), coded.dictionary)
 
 
 def _whole(data: bytes) -> bool:
-    state, text = Utf8Stream.step((0, 0, 0, 0), data)
-    return not state[0] and "�" not in text
+    state, _, bad = Utf8Stream.step(_BETWEEN, data)
+    return not state[0] and not bad
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -280,7 +432,7 @@ def _lists(ids: np.ndarray, off: np.ndarray) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, back: bool = False) -> DataFrame:
-    """All columns of docs with ``ids`` array<int>, and with ``decoded`` binary if they are to be decoded in the same pass.
+    """All columns of docs with ``ids`` array<int>, and with ``decoded`` string, by the UTF-8 automaton, if they are to be decoded in the same pass.
 
     ``path``: a rank file that every executor has.
     """
@@ -290,15 +442,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in pieces(batches, limit=2 << 20):
-            ids, off = own.encode(as_array(b.column(b.schema.get_field_index("text"))).to_pylist())
+        for b in pieces(batches, limit=4 << 20):
+            ids, off = own.encode(as_array(b.column(b.schema.get_field_index("text"))))
             made = [_lists(ids, off)]
             if back:
-                made.append(pa.array([own.decode(ids[off[i] : off[i + 1]]) for i in range(b.num_rows)], pa.binary()))
+                made.append(own.decode_texts(ids, off))
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *extra])
-        own.forget()  # the worker may serve other stages next
 
-    return rows.mapInArrow(work, widened(rows, "ids array<int>, decoded binary" if back else "ids array<int>"))
+    return rows.mapInArrow(work, widened(rows, "ids array<int>, decoded string" if back else "ids array<int>"))
 
 
 def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> DataFrame:
@@ -317,11 +468,9 @@ def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> Data
                 column = part.column(part.schema.get_field_index("ids"))
                 ids = column.flatten().to_numpy(zero_copy_only=False)
                 off = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-                each = [ids[off[i] : off[i + 1]] for i in range(part.num_rows)]
-                data = [own.decode(x) for x in each]
-                made = [pa.array(data, pa.binary())]
+                made = [pa.array([own.decode(ids[off[i] : off[i + 1]]) for i in range(part.num_rows)], pa.binary())]
                 if text:
-                    made.append(pa.array([own.decode_text(x, y) for x, y in zip(each, data)], pa.string()))
+                    made.append(own.decode_texts(ids, off))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *extra])
 
     return rows.mapInArrow(work, schema)

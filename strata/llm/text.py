@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that end a word: blank and 0x09 to 0x0D.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -129,6 +130,37 @@ def tidy() -> None:
         _trim(0)
 
 
+class Coded:
+    """Ids of distinct strings by column, with a bound on the bytes kept."""
+
+    def __init__(self, most_bytes: int = 24 << 20):
+        self.most_bytes = most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        #: Strings met so far, their ids one after another, and where each string's ids start.
+        self.names, self.ids, self.off = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def trim(self) -> None:
+        """Forget all if more is kept than the bound; the places of strings change with it."""
+        if self.names.nbytes + self.ids.nbytes + self.off.nbytes > self.most_bytes:
+            self.forget()
+
+    def find(self, names: pa.Array, learn) -> np.ndarray:
+        """Places of distinct strings. Those not met yet are learnt: ``learn`` gives, of an array of them, ids and the number of ids of each."""
+        at = pc.index_in(names, self.names)
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = names.take(pa.array(new))
+            ids, sizes = learn(fresh)
+            place[new] = len(self.names) + np.arange(len(new))
+            self.names = pa.concat_arrays([self.names, fresh])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
+        return place
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + lengths[i] - 1, one run after another."""
     lengths = np.asarray(lengths, np.int64)

@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.shared import shared_dir
-from strata.llm.text import as_array, cut, pieces, ragged, raw, tidy
+from strata.llm.text import Coded, as_array, cut, pieces, ragged, raw, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SCHEMA = "doc_id bigint, part int, first bigint, n_tokens bigint, ids array<int>"
-_KNOWN = 500_000
 _MARK = "<|endoftext|>"
 _MARKS = "!#$%&*+,-./:;=?@|"
 
@@ -80,47 +79,40 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(_MARK)
-        self.forget()
+        self.known = Coded()
 
-    def forget(self) -> None:
-        #: Parts met so far, their ids one after another, and where each part's ids start.
-        self.known, self.ids, self.off = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, new: pa.Array) -> None:
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encode parts in few calls: a special token between parts keeps them apart in the ids."""
-        alone = pc.match_substring(new, "<|") if self.mark is not None else pa.array(np.ones(len(new), bool))
-        single, rest = new.filter(alone), new.filter(pc.invert(alone))
-        found, ends, total = [self.ids], [self.off], len(self.ids)
+        alone = pc.match_substring(new, "<|").to_numpy(zero_copy_only=False) if self.mark is not None else np.ones(len(new), bool)
+        rest, single = np.flatnonzero(~alone), np.flatnonzero(alone)
+        found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(rest), 250):
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some := rest.slice(at, 250))], pa.int32()), some), _MARK)[0].as_py()
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-            marks = ids == self.mark
-            ids, stops = ids[~marks], np.append(np.flatnonzero(marks) - np.arange(len(some) - 1), len(ids) - len(some) + 1)
-            found.append(ids)
-            ends.append(total + stops)
-            total += len(ids)
-        for p in single.to_pylist():
+            some = new.take(pa.array(rest[at : at + 250]))
+            ids = np.array(self.tokenizer.encode_batch_fast([_MARK.join(some.to_pylist())], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(some) - 1:
+                raise ValueError("the tokenizer does not keep its special token apart")
+            found.append(np.delete(ids, marks))
+            sizes.append(np.diff(marks, prepend=-1, append=len(ids)) - 1)
+        for p in new.take(pa.array(single)).to_pylist():
             found.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int32))
-            total += len(found[-1])
-            ends.append(np.array([total]))
-        self.known, self.ids, self.off = pa.concat_arrays([self.known, rest, single]), np.concatenate(found), np.concatenate(ends)
+            sizes.append([len(found[-1])])
+        ids, size = np.concatenate(found), np.concatenate(sizes)
+        if not len(single):
+            return ids, size
+        order = np.argsort(np.concatenate([rest, single]))
+        return ids[ragged((np.cumsum(size) - size)[order], size[order])], size[order]
 
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
         w = cut(*raw(texts), blanks=b" \n")
-        if len(self.known) > _KNOWN:
-            self.forget()
+        self.known.trim()
         coded = pa.concat_arrays(parts_of(w.distinct.view(pa.string()))).dictionary_encode()
-        parts = coded.dictionary
-        place = pc.index_in(parts, self.known)
-        if place.null_count:
-            self._learn(parts.filter(place.is_null()))
-            place = pc.index_in(parts, self.known)
-        part = place.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        part = self.known.find(coded.dictionary, self._learn)[coded.indices.to_numpy()]
         both = part.reshape(2, -1).T  # head and tail of each distinct chunk
-        length = np.diff(self.off)[both]
+        length = np.diff(self.known.off)[both]
         sizes = length.sum(axis=1)
-        flat = self.ids[ragged(self.off[both].reshape(-1), length.reshape(-1))]
+        flat = self.known.ids[ragged(self.known.off[both].reshape(-1), length.reshape(-1))]
         begins = np.cumsum(sizes) - sizes
         ids = flat[ragged(begins[w.codes], sizes[w.codes])]
         off = np.concatenate([[0], np.cumsum(sizes[w.codes])])[w.starts]
@@ -161,7 +153,6 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None, parts: int | None
                 names=["doc_id", "part", "first", "n_tokens", "ids"],
             )
             seen += int(off[-1])
-        own.forget()  # the worker may serve other stages next
         tidy()
 
     return rows.mapInArrow(work, SCHEMA)
