@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import widened
-from strata.llm.text import Coded, Words, as_array, pieces, ragged, raw
+from strata.llm.shared import small_batches, widened
+from strata.llm.text import Coded, Words, as_array, gathered, pieces, ragged, raw, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _BETWEEN = (0, 0, 0, 0)
+#: Instead of a token's half: a single byte, not asked yet, its bytes encode to other tokens, ranks don't rise while it is merged.
+_BYTE, _UNKNOWN, _NEVER, _ODD = -1, -2, -3, -4
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +56,7 @@ class State(dict):
 class Transducer:
     """Encodes byte strings; moves are built when first taken."""
 
-    def __init__(self, ranks: dict[bytes, int], most_bytes: int = 160 << 20):
+    def __init__(self, ranks: dict[bytes, int], most_bytes: int = 64 << 20):
         self.ranks, self.most_bytes = ranks, most_bytes
         self.piece = {v: k for k, v in ranks.items()}
         #: The trie: (node << 8 | byte) -> node, the token that ends at a node, and whether a node goes on.
@@ -75,8 +78,12 @@ class Transducer:
             self.token_at[node] = rank
         self.size = {rank: len(word) for word, rank in ranks.items()}
         self.longest = max(self.size.values(), default=1)
-        #: For a token the last (or first) parts that it is merged from, innermost first, each with the rank that ends it.
-        self.spines: dict[int, tuple[tuple, tuple] | None] = {}
+        #: The two tokens that each token is merged from last. Arrays, so that nothing small outlives the words of a task.
+        top = max(ranks.values(), default=0) + 1
+        self.left, self.right = (array("q", [_UNKNOWN]) * top for _ in range(2))
+        for word, rank in ranks.items():
+            if len(word) == 1:
+                self.left[rank] = self.right[rank] = _BYTE
         self.agrees: dict[int, bool] = {}
         self.states: dict[tuple, State] = {}
         self.restart()
@@ -90,10 +97,10 @@ class Transducer:
         self.used = 0
         self.agrees = {}
 
-    def merged(self, data: bytes, steps: list[tuple[int, int]] | None = None) -> list[int]:
-        """The encoding by merging the lowest-ranked neighbours; defines which tokens agree. ``steps`` gets each merge's rank and place."""
+    def merged(self, data: bytes, steps: list[int] | None = None, most: int = -1) -> list[int]:
+        """The encoding by merging the lowest-ranked neighbours; defines which tokens agree. ``steps`` gets the merges' ranks; ``most`` bounds them."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > 1 and most:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
@@ -102,59 +109,51 @@ class Transducer:
             if best is None:
                 break
             if steps is not None:
-                steps.append((best, at, len(parts)))
+                steps.append(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            most -= 1
         return [self.ranks[p] for p in parts]
 
-    def _spine(self, token: int) -> tuple[tuple, tuple] | None:
-        """The parts at the right and the left edge over time; None if ranks don't rise, () if it doesn't encode to itself."""
-        steps: list[tuple[int, int, int]] = []
+    def _split(self, token: int) -> int:
+        """Fill in the halves of a token, and give the left one."""
+        steps: list[int] = []
         data = self.piece[token]
         if self.merged(data, steps) != [token]:
-            found = ((), ())
-        elif any(a[0] > b[0] for a, b in zip(steps, steps[1:])):
-            found = None
+            self.left[token] = self.right[token] = _NEVER
+        elif any(a > b for a, b in zip(steps, steps[1:])):
+            self.left[token] = self.right[token] = _ODD
         else:
-            right, left = [data[-1:]], [data[:1]]
-            ends = ([], [])
-            for rank, at, n in steps:
-                made = self.piece[rank]
-                if at == n - 2:
-                    ends[0].append(rank)
-                    right.append(made)
-                if at == 0:
-                    ends[1].append(rank)
-                    left.append(made)
-            found = tuple(tuple(zip(parts, (*stops, 1 << 60))) for parts, stops in zip((right, left), ends))
-        self.spines[token] = found
-        return found
+            self.left[token], self.right[token] = self.merged(data, None, len(steps) - 1)
+        return self.left[token]
 
     def _agree(self, before: int, token: int) -> bool:
-        """Whether the bytes of both tokens encode to just them: no merge across the border comes first."""
-        spines = self.spines
-        a = spines[before] if before in spines else self._spine(before) if before >= 0 else ()
-        b = spines[token] if token in spines else self._spine(token)
-        if a is None or b is None:
-            ok = self.merged((self.piece[before] if before >= 0 else b"") + self.piece[token]) == ([before, token] if before >= 0 else [token])
-        elif before < 0:
-            ok = bool(b[0])
-        elif not a[0] or not b[0]:
-            ok = False
-        else:
-            x, y, ok, get = a[0], b[1], True, self.ranks.get
-            i = j = 0
+        """Whether the bytes of both tokens encode to just them: at no time comes a merge across the border first."""
+        left, right, piece = self.left, self.right, self.piece
+        for t in (before, token):
+            if t >= 0 and left[t] == _UNKNOWN:
+                self._split(t)
+        if left[token] == _ODD or before >= 0 and left[before] == _ODD:
+            ok = self.merged((piece[before] if before >= 0 else b"") + piece[token]) == ([before, token] if before >= 0 else [token])
+        elif before < 0 or left[before] == _NEVER or left[token] == _NEVER:
+            ok = before < 0 and left[token] != _NEVER
+        else:  # back in time: undo the later of the merges that made the two parts at the border
+            x, y, end, get, ok = before, token, 1 << 60, self.ranks.get, True
             while True:
-                (left, stop), (right, end) = x[i], y[j]
-                rank = get(left + right)
-                if rank is not None and rank < stop and rank <= end:
+                rank = get(piece[x] + piece[y])
+                if rank is not None and rank < end:
                     ok = False
                     break
-                if stop <= end:
-                    i += 1
-                    if i == len(x):
-                        break
+                a, b = right[x], left[y]
+                if a >= 0 and (x > y or b < 0):
+                    end, x = x, a
+                    if right[a] == _UNKNOWN:
+                        self._split(a)
+                elif b >= 0:
+                    end, y = y + 1, b  # of equal ranks the left one is merged first
+                    if left[b] == _UNKNOWN:
+                        self._split(b)
                 else:
-                    j += 1
+                    break
         if len(self.agrees) > 100_000:
             self.agrees = {}
         self.agrees[before + 1 << 32 | token] = ok
@@ -182,7 +181,7 @@ class Transducer:
         if to is None:
             if self.used > self.most_bytes:
                 self.restart()
-            self.used += 700 + 50 * len(key)  # with its moves, about
+            self.used += 250 + 16 * len(key)  # with its moves, about
             to = self.states[key] = State(self, key)
         found = state[byte] = (to, whole)
         return found
@@ -310,13 +309,22 @@ class Codec:
             self._machine = Transducer(self.ranks)
         return self._machine
 
+    def forget(self) -> None:
+        """Drop what was learnt from texts; a worker may serve other stages next."""
+        self.known.forget()
+        self.moves.clear()
+        if self._machine is not None:
+            self._machine.restart()
+        gc.collect()
+        tidy()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's ids."""
         w = blank_led(*raw(texts))
         self.known.trim()
         at = self.known.find(w.distinct.view(pa.string()), self._learn)
         begins, sizes = self.known.off[at][w.codes], np.diff(self.known.off)[at][w.codes]
-        return self.known.ids[ragged(begins, sizes)], np.concatenate([[0], np.cumsum(sizes)])[w.starts]
+        return gathered(self.known.ids, begins, sizes), np.concatenate([[0], np.cumsum(sizes)])[w.starts]
 
     def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cut chunks into words, and encode each distinct word once."""
@@ -347,7 +355,7 @@ class Codec:
         return ids[ragged((np.cumsum(size) - size)[back], size[back])], size[back]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.bytes[ragged(self.begins[ids], self.sizes[ids])].tobytes()
+        return gathered(self.bytes, self.begins[ids], self.sizes[ids]).tobytes()
 
     def decode_texts(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
         """The texts of ids[off[i]:off[i + 1]] by the UTF-8 automaton.
@@ -357,7 +365,7 @@ class Codec:
         """
         sizes = self.sizes[ids]
         where = np.concatenate([[0], np.cumsum(sizes)])
-        data = self.bytes[ragged(self.begins[ids], sizes)]
+        data = gathered(self.bytes, self.begins[ids], sizes)
         bounds = where[off]
         bad: set[int] = set()
         open_ = np.flatnonzero(~self.closed[ids])
@@ -437,17 +445,19 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     ``path``: a rank file that every executor has.
     """
     path = _where(path)
+    small_batches(docs.sparkSession)
     extra = ["ids", "decoded"] if back else ["ids"]
     rows = docs.select(*[c for c in docs.columns if c not in extra])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in pieces(batches, limit=4 << 20):
+        for b in pieces(batches, limit=2 << 20):
             ids, off = own.encode(as_array(b.column(b.schema.get_field_index("text"))))
             made = [_lists(ids, off)]
             if back:
                 made.append(own.decode_texts(ids, off))
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *extra])
+        own.forget()
 
     return rows.mapInArrow(work, widened(rows, "ids array<int>, decoded string" if back else "ids array<int>"))
 
@@ -455,6 +465,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 def decode(coded: DataFrame, path: str | None = None, text: bool = True) -> DataFrame:
     """All columns with ``decoded`` binary and, if asked for, ``decoded_text``; null ids count as none."""
     path = _where(path)
+    small_batches(coded.sparkSession)
     extra = ["decoded", "decoded_text"] if text else ["decoded"]
     keep = [c for c in coded.columns if c not in extra]
     rows = coded.select(*keep)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.components import components
-from strata.llm.shared import stored
+from strata.llm.shared import small_batches, stored
 from strata.llm.text import as_array, mix, pieces, ragged, shingle_hashes, words
 
 K = 128
@@ -214,6 +214,7 @@ def _rest(members: DataFrame, labels: DataFrame, runs: DataFrame, least: float,
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = WORDS, k: int = K, rows: int = ROWS, weights: str = "set", block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: doc_id, node (hash of the text), class_id (the least doc_id of its class), class_size and root (the least node)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     keyed = stored(signed(texts, k, rows, size, weights).distinct(), "bands")
     least_of = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "least")

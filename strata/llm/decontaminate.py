@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import widened
+from strata.llm.shared import small_batches, widened
 from strata.llm.text import BLANKS, Words, as_array, pieces, shingle_hashes, words
 
 #: Bytes that end a word: blanks and ASCII punctuation.
@@ -148,6 +148,7 @@ class Items:
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of docs with ``items`` (ids of matched items, ascending) and ``coverages`` beside them."""
     spark = docs.sparkSession
+    small_batches(spark)
     extra = ["items", "coverages"]
     rows = docs.select(*[c for c in docs.columns if c not in extra])
     schema = widened(rows, "items array<bigint>, coverages array<double>")
@@ -167,7 +168,7 @@ def _searching(sent, first: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Items = pickle.loads(sent.value)
-        for b in pieces(batches):
+        for b in pieces(batches, limit=1 << 20):
             texts = as_array(b.column(b.schema.get_field_index("text")))
             found = own.search(words(texts, ENDS, lower=True)) if len(own.seeds) else {}
             hits = [[(own.ids[i], c) for i, c in found.get(d, ())] for d in range(b.num_rows)]

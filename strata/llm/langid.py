@@ -14,6 +14,7 @@ be learned from, every row is ``und``. Extra columns are ignored.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import fold, spread, widened
+from strata.llm.shared import fold, small_batches, spread, widened
 from strata.llm.text import as_array, pieces
 
 UND = "und"
@@ -69,6 +70,30 @@ def features(texts: list[str], longest: int = 4, bits: int = _BITS) -> tuple[np.
     return np.concatenate(codes), np.concatenate(owners), n_letters
 
 
+_BLANK = re.compile(r"\s")
+
+
+def sliced(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[list[str], list[int]]]:
+    """Groups of about ``most`` characters: pieces of texts, cut at blanks, and the index of each one's text. A longer word stays whole."""
+    held, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            cut = _BLANK.search(t, at + most) if len(t) - at > most else None
+            to = cut.start() if cut else len(t)
+            held.append(t[at:to] if at or cut else t)
+            of.append(i)
+            size += to - at
+            if size >= most:
+                yield held, of
+                held, of, size = [], [], 0
+            if not cut:
+                break
+            at = to
+    if held:
+        yield held, of
+
+
 @dataclass
 class LanguageModel:
     """Embedding rows, linear layer and calibration."""
@@ -80,25 +105,28 @@ class LanguageModel:
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The linear layer is applied to the table once, then averaged: the same by linearity."""
-        table = self.embeddings @ self.weights.T
-        codes, owners, n_letters = features(texts)
-        count = np.maximum(np.bincount(owners, minlength=len(texts)), 1)
-        sums = np.stack([np.bincount(owners, weights=table[codes, c], minlength=len(texts)) for c in range(len(self.labels))], axis=1)
-        return sums / count[:, None] + self.bias, n_letters
-
-    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        z, n_letters = self.logits(texts)
-        return softmax(z / self.temperature), n_letters
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def logits(self, texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The linear layer is applied to the table once, then averaged: the same by linearity. Long texts are read in slices between words."""
+        table = self.embeddings @ self.weights.T if table is None else table
+        count, n_letters = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        sums = np.zeros((len(texts), len(self.labels)))
+        for some, of in sliced(texts):
+            codes, owners, letters = features(some)
+            of = np.array(of)
+            np.add.at(n_letters, of, letters)
+            np.add.at(count, of, np.bincount(owners, minlength=len(some)))
+            for c in range(len(self.labels)):
+                np.add.at(sums[:, c], of, np.bincount(owners, weights=table[codes, c], minlength=len(some)))
+        return sums / np.maximum(count, 1)[:, None] + self.bias, n_letters
+
+    def predict(self, texts: list[str], table: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Labels, calibrated scores and whether each text is rejected."""
         if not texts:
             return [], np.zeros(0), np.zeros(0, bool)
         if not self.labels:
             return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        p, n_letters = self.probabilities(texts)
+        z, n_letters = self.logits(texts, table)
+        p = softmax(z / self.temperature)
         best = p.argmax(axis=1)
         score = np.where(n_letters > 0, p.max(axis=1), 0.0)
         names = [self.labels[b] if n else UND for b, n in zip(best, n_letters)]
@@ -200,6 +228,7 @@ def fit(docs: DataFrame, learn: Column | None = None, *, per_label: int = 600, c
 def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of docs with lang_pred, lang_score and rejected."""
     spark = docs.sparkSession
+    small_batches(spark)
     extra = ["lang_pred", "lang_score", "rejected"]
     keep = [c for c in docs.columns if c not in extra]
     schema = widened(docs.select(*keep), "lang_pred string, lang_score double, rejected boolean")
@@ -207,9 +236,10 @@ def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
     sent = spark.sparkContext.broadcast(pickle.dumps(small))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(sent.value)
+        own: LanguageModel = pickle.loads(sent.value)
+        table = own.embeddings @ own.weights.T
         for b in pieces(batches, limit=1 << 19):
-            names, score, rejected = own.predict(as_array(b.column(b.schema.get_field_index("text"))).to_pylist())
+            names, score, rejected = own.predict(as_array(b.column(b.schema.get_field_index("text"))).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names, *extra])
 
     return docs.select(*keep).mapInArrow(work, schema)

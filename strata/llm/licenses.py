@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.decontaminate import ENDS
 from strata.llm.license_texts import NOTICES
+from strata.llm.shared import small_batches
 from strata.llm.text import as_array, pieces, words
 
 COVERAGE = 0.85
@@ -170,6 +171,7 @@ class Templates:
 def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, *, coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:
     """A row of RESULT for each licence of each document; words count from 0."""
     notices = notices or NOTICES
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

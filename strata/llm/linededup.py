@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import stored
+from strata.llm.shared import small_batches, stored
 from strata.llm.text import as_array, cut, mix, pieces, ragged, raw, sorted_distinct, tidy
 
 SIMILARITY = 0.8
@@ -456,6 +456,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_links(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, rid, text_hash, n_lines, removed and links."""
+    small_batches(docs.sparkSession)
     lines = stored(line_sets(docs), "lines", compression="none")
     gone = removed_lines(lines, **options)
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.eliasfano import TrieLevel
-from strata.llm.shared import fold, stored
+from strata.llm.shared import fold, small_batches, stored
 from strata.llm.text import Words, as_array, mix, pieces, ragged, split_sums, words
 
 FREQUENT = 1 << 16
@@ -344,6 +344,7 @@ def score(docs: DataFrame, learn: Column, shard_tokens: int = SHARD_TOKENS, ever
     ``docs`` should be a table: it is read more than once and must give the same rows in the same partitions.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     texts, every, size = rows.agg(F.count_if("train"), F.count("*"), F.sum(F.octet_length("text"))).first()
     counts = stored(word_counts(rows), "counts")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import fold, spread, widened
+from strata.llm.shared import fold, small_batches, spread, widened
 from strata.llm.text import as_array, pieces, words
 
 COLUMNS = 4096
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, most
 
 def apply(docs: DataFrame, model: QualityModel) -> DataFrame:
     """All columns of docs with ``score``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*[c for c in docs.columns if c != "score"])
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 

@@ -24,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's own bound of the bytes sent to a Python worker at once, and the one used here where that stands.
+_DEFAULT_BATCH, BATCH = "67108864b", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send a Python worker about 8 MB at once, unless the session has a bound of its own.
+
+    A bound of rows alone lets long texts fill a worker; each operator that sends texts calls this.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written as a table in the shared folder and read back; cuts the lineage."""
     spark = df.sparkSession

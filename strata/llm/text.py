@@ -171,6 +171,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """values[ragged(starts, lengths)], a block of runs at a time."""
+    lengths = np.asarray(lengths, np.int64)
+    if len(lengths) <= block:
+        return values[ragged(starts, lengths)]
+    out, at = np.empty(int(lengths.sum()), values.dtype), 0
+    for i in range(0, len(lengths), block):
+        some = values[ragged(starts[i : i + block], lengths[i : i + block])]
+        out[at : at + len(some)] = some
+        at += len(some)
+    return out
+
+
 def split_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values[starts[i]:starts[i + 1]], 0 for empty runs."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)

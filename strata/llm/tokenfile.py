@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.shared import shared_dir
-from strata.llm.text import Coded, as_array, cut, pieces, ragged, raw, tidy
+from strata.llm.shared import shared_dir, small_batches
+from strata.llm.text import Coded, as_array, cut, gathered, pieces, ragged, raw, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -112,9 +112,9 @@ class ChunkEncoder:
         both = part.reshape(2, -1).T  # head and tail of each distinct chunk
         length = np.diff(self.known.off)[both]
         sizes = length.sum(axis=1)
-        flat = self.known.ids[ragged(self.known.off[both].reshape(-1), length.reshape(-1))]
+        flat = gathered(self.known.ids, self.known.off[both].reshape(-1), length.reshape(-1))
         begins = np.cumsum(sizes) - sizes
-        ids = flat[ragged(begins[w.codes], sizes[w.codes])]
+        ids = gathered(flat, begins[w.codes], sizes[w.codes])
         off = np.concatenate([[0], np.cumsum(sizes[w.codes])])[w.starts]
         if end is None:
             return ids, off
@@ -139,6 +139,7 @@ def _encoder(path: str) -> ChunkEncoder:
 
 def encoded(docs: DataFrame, tokenizer: str, end: int | None, parts: int | None = None) -> DataFrame:
     """Rows of SCHEMA in range partitions of doc_id, sorted; first counts within the partition."""
+    small_batches(docs.sparkSession)
     n = parts or max(1, docs.select("doc_id")._jdf.queryExecution().toRdd().getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
