@@ -90,10 +90,10 @@ def merge_sources(spark, d):
     return V.merge_ordered(events_log(spark, d), turns_log(spark, d).drop("conv_id")).select("k", "seq", "kind")
 
 
-@query(f"WITH {_EV}, p AS (SELECT user_id, event_id, event_id - 500 AS at_seq, 'user/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k FROM events WHERE event_id % 7 = 0), m AS (SELECT p.event_id, arg_max(e.kind, e.seq) AS kind, max(e.seq) AS seq, arg_max(e.v, e.seq) AS v FROM p JOIN ev e ON e.k = p.k AND e.seq <= p.at_seq GROUP BY p.event_id) SELECT p.event_id, p.k, p.at_seq, coalesce(m.kind = 1, FALSE) AS found, CASE WHEN m.kind = 1 THEN m.seq END AS seq, CASE WHEN m.kind = 1 THEN m.v END AS v FROM p LEFT JOIN m ON m.event_id = p.event_id")
+@query(f"WITH {_EV}, p AS (SELECT user_id, event_id, event_id - 500 AS at_seq, 'user/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k FROM events), m AS (SELECT p.event_id, arg_max(e.kind, e.seq) AS kind, max(e.seq) AS seq, arg_max(e.v, e.seq) AS v FROM p JOIN ev e ON e.k = p.k AND e.seq <= p.at_seq GROUP BY p.event_id) SELECT p.event_id, p.k, p.at_seq, coalesce(m.kind = 1, FALSE) AS found, CASE WHEN m.kind = 1 THEN m.seq END AS seq, CASE WHEN m.kind = 1 THEN m.v END AS v FROM p LEFT JOIN m ON m.event_id = p.event_id")
 def as_of_join(spark, d):
     log = events_log(spark, d)
-    probes = table(spark, d, "events").where("event_id % 7 = 0").select("event_id", K.padded("user/", F.col("user_id"), 6).alias("k"), (F.col("event_id") - 500).alias("at_seq"))
+    probes = table(spark, d, "events").select("event_id", K.padded("user/", F.col("user_id"), 6).alias("k"), (F.col("event_id") - 500).alias("at_seq"))
     return V.as_of(probes, log).select("event_id", "k", "at_seq", "found", "seq", "v")
 
 
@@ -142,9 +142,9 @@ def point_get_at(spark, d):
     return R.get(events_log(spark, d), "user/000011", _CUT)
 
 
-@query(f"WITH {_EV}, w AS (SELECT DISTINCT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer WHERE c_custkey % 2 = 0) SELECT w.k, l.k IS NOT NULL AS found, l.seq, l.v FROM w LEFT JOIN {_live('ev')} l ON l.k = w.k")
+@query(f"WITH {_EV}, w AS (SELECT DISTINCT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer) SELECT w.k, l.k IS NOT NULL AS found, l.seq, l.v FROM w LEFT JOIN {_live('ev')} l ON l.k = w.k")
 def multi_get_found(spark, d):
-    wanted = table(spark, d, "customer").where("c_custkey % 2 = 0").select(K.padded("user/", F.col("c_custkey"), 6).alias("k"))
+    wanted = table(spark, d, "customer").select(K.padded("user/", F.col("c_custkey"), 6).alias("k"))
     return R.multi_get(events_log(spark, d), wanted)
 
 
@@ -248,13 +248,18 @@ def run_zone_map(spark, d):
     return S.zone_map(runs_of(events_log(spark, d), 1000))
 
 
-_FILES = "f AS (SELECT CAST(o_custkey % 4 AS INTEGER) AS level, CAST(o_custkey AS BIGINT) AS number, min(o_orderkey) AS min_k, max(o_orderkey) AS max_k, CAST(sum(floor(o_totalprice)) AS BIGINT) AS bytes, count(*) AS rows FROM orders WHERE o_custkey <= 200 GROUP BY o_custkey)"
+# Files: orders by priority as levels 0 to 4, by ranges of order keys that grow with the level; level 0 is dealt over 8 files.
+_FILES = """o AS (SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS level FROM orders),
+n AS (SELECT *, CASE WHEN level = 0 THEN o_orderkey % 8 ELSE level * CAST(1000000000 AS BIGINT) + o_orderkey // (4 << level) END AS number FROM o),
+f AS (SELECT level, CAST(number AS BIGINT) AS number, min(o_orderkey) AS min_k, max(o_orderkey) AS max_k, CAST(sum(floor(o_totalprice)) AS BIGINT) AS bytes, count(*) AS rows FROM n GROUP BY level, number)"""
 
 
 def _files(spark, d):
-    """Orders of the first customers as files: a level, a number, a key range and a size each."""
-    o = table(spark, d, "orders").where("o_custkey <= 200")
-    return o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("min_k"), F.max("o_orderkey").alias("max_k"), F.sum(F.floor("o_totalprice").cast("long")).alias("bytes"), F.count("*").alias("rows")).select((F.col("o_custkey") % 4).cast("int").alias("level"), F.col("o_custkey").cast("long").alias("number"), "min_k", "max_k", "bytes", "rows")
+    """All orders as files: a level, a number, a key range and a size each."""
+    level = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", level.alias("level"))
+    number = F.when(F.col("level") == 0, F.col("o_orderkey") % 8).otherwise(F.col("level") * F.lit(1000000000).cast("long") + F.expr("o_orderkey div shiftleft(4, level)"))
+    return o.withColumn("number", number.cast("long")).groupBy("level", "number").agg(F.min("o_orderkey").alias("min_k"), F.max("o_orderkey").alias("max_k"), F.sum(F.floor("o_totalprice").cast("long")).alias("bytes"), F.count("*").alias("rows"))
 
 
 @query(f"WITH {_FILES} SELECT level, count(*) AS tables, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(rows) AS BIGINT) AS rows FROM f GROUP BY level")
@@ -268,17 +273,17 @@ def range_overlaps(spark, d):
     return S.overlapping(f.where("level = 1"), f.where("level = 2"))
 
 
-@query(f"WITH {_FILES} SELECT number, bytes FROM f a WHERE level = 1 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.level = 3 AND b.max_k - b.min_k < 3000 AND a.min_k <= b.max_k AND a.max_k >= b.min_k) ORDER BY bytes DESC, number LIMIT 8")
+@query(f"WITH {_FILES} SELECT number, bytes FROM f a WHERE level = 1 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.level = 2 AND a.min_k <= b.max_k AND a.max_k >= b.min_k) ORDER BY bytes DESC, number LIMIT 8")
 def free_runs(spark, d):
     f = _files(spark, d)
-    return S.free_runs(f.where("level = 1"), f.where("level = 3 AND max_k - min_k < 3000")).select("number", "bytes")
+    return S.free_runs(f.where("level = 1"), f.where("level = 2")).select("number", "bytes")
 
 
-@query(f"WITH {_FILES} SELECT level, number, before FROM (SELECT *, lag(max_k) OVER (PARTITION BY level ORDER BY min_k, number) AS before FROM f WHERE level >= 1) WHERE before >= min_k")
+@query("WITH f AS (SELECT CAST(1 + o_custkey % 4 AS INTEGER) AS level, CAST(o_custkey AS BIGINT) AS number, min(o_orderkey) AS min_k, max(o_orderkey) AS max_k FROM orders GROUP BY o_custkey) SELECT level, number, before FROM (SELECT *, lag(max_k) OVER (PARTITION BY level ORDER BY min_k, number) AS before FROM f) WHERE before >= min_k")
 def level_overlap(spark, d):
-    f = _files(spark, d)
-    before = F.lag("max_k").over(Window.partitionBy("level").orderBy("min_k", "number"))
-    return f.where("level >= 1").withColumn("before", before).where("before >= min_k").select("level", "number", "before")
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("min_k"), F.max("o_orderkey").alias("max_k"))
+    f = o.select((1 + F.col("o_custkey") % 4).cast("int").alias("level"), F.col("o_custkey").cast("long").alias("number"), "min_k", "max_k")
+    return S.level_overlaps(f).select("level", "number", "before")
 
 
 @query(f"WITH {_FILES}, l AS (SELECT level, CAST(sum(bytes) AS DOUBLE) AS bytes, 100000.0 * power(10.0, level - 1) AS budget FROM f WHERE level >= 1 GROUP BY level) SELECT round(sum(greatest(bytes - budget, 0)), 3) AS debt_bytes, round(max(bytes / budget), 6) AS max_ratio, CAST(count(*) FILTER (bytes > budget) AS BIGINT) AS levels_over FROM l")
@@ -292,11 +297,9 @@ def oldest_and_newest_run(spark, d):
     return _files(spark, d).groupBy("level").agg(F.max_by("number", "bytes").alias("largest"), F.min("number").alias("oldest"), F.max("number").alias("newest"))
 
 
-@query(f"WITH {_FILES}, s AS (SELECT number, round((0.5 * least(bytes / 5000000.0, 1.0) + 0.01 * ln(1 + 201 - number)) / sqrt(greatest(bytes, 1)), 12) AS score FROM f) SELECT number, score FROM s ORDER BY score DESC, number LIMIT 1")
+@query(f"WITH {_FILES}, a AS (SELECT level, max(number) AS newest FROM f GROUP BY level), s AS (SELECT number, round((0.5 * least(bytes / 5000000.0, 1.0) + 0.01 * ln(1 + newest - number)) / sqrt(greatest(bytes, 1)), 12) AS score FROM f JOIN a ON a.level = f.level) SELECT number, score FROM s ORDER BY score DESC, number LIMIT 1")
 def top_scored(spark, d):
-    benefit = 0.5 * F.least(F.col("bytes") / 5000000.0, F.lit(1.0)) + 0.01 * F.log1p(201 - F.col("number"))
-    s = _files(spark, d).select("number", F.round(benefit / F.sqrt(F.greatest("bytes", F.lit(1))), 12).alias("score"))
-    return s.orderBy(F.desc("score"), "number").limit(1)
+    return S.top_by_score(_files(spark, d), 5_000_000.0)
 
 
 @query("SELECT DISTINCT o_custkey AS number FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
