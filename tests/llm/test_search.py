@@ -10,32 +10,69 @@ from pyspark.sql import functions as F
 from strata.llm import decontaminate, licenses, topk
 
 
-def test_top_k_equals_brute_force(spark):
+def brute_top(rows, queries, k=5):
+    """(query_id, rank, vec_id, score) in exact integers; rows are told apart by place."""
+    good = []
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(256 * x) for x in v):
+            good.append((i, [math.floor(256 * x) for x in v]))
+    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    out = []
+    for p, (i, q) in enumerate(good):
+        if queries(i):
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for r, (j, x) in enumerate(good) if r != p and len(x) == len(q))
+            out += [(i, n, j, clamp(-s)) for n, (s, j) in enumerate(best[:k], 1)]
+    return sorted(out)
+
+
+def vectors_of(spark, rows, kind="double"):
+    return spark.createDataFrame([(i, v, 1, "x", 2, 3.0) for i, v in rows], f"vec_id bigint, embedding array<{kind}>, rank int, score string, rid int, norm double").repartition(4)
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_top_k_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "SEEDS", block // 4)
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, rng.choice([0.05, 1, 3])) for _ in range(12)]) for i in range(300)]
-    rows += [(300 + i, rows[i % 4][1]) for i in range(30)] + [(900, None), (901, [None] * 12), (902, [math.nan] * 12), (903, [math.inf] * 12), (904, []), (905, [1.0]), (None, [1.0] * 12), (50, rows[50][1])]
-    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id bigint, embedding array<float>, rank int, score string").repartition(4)
-    good = [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and len(v) == 12 and all(x is not None and math.isfinite(x) for x in v)]
-    got = {}
-    for r in topk.top_k(frame, F.col("vec_id") % 50 == 0, 5).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    for q in {i for i, _ in good if i % 50 == 0}:
-        v = next(x for i, x in good if i == q)
-        best = sorted(((-int(v @ x), i) for i, x in good if i != q))
-        mine = sorted(got[q])
-        assert [s for _, _, s in mine][:5] == [-s for s, _ in best][: len(mine)][:5]
-    assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
+    rows += [(300 + i, rows[i % 4][1]) for i in range(30)] + [(900, None), (901, [None] * 12), (902, [math.nan] * 12), (903, [math.inf] * 12), (904, []), (None, [1.0] * 12)]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (100, rows[100][1])]  # repeated query rows, and another with the same vec_id
+    rows += [(1000 + i, [rng.gauss(0, 2) for _ in range(5)]) for i in range(60)] + [(2000, [3.0]), (2001, [1.0]), (2050, [1.0, 2.0])]  # other lengths, one alone
+    got = sorted(map(tuple, topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 50 == 0, 5).collect()))
+    assert got == brute_top(rows, lambda i: i % 50 == 0)
+    assert topk.top_k(vectors_of(spark, rows).limit(0), F.lit(True)).count() == 0
+
+
+def test_top_k_of_equal_lengths_and_ties(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(120)]
+    assert sorted(map(tuple, topk.top_k(vectors_of(spark, rows, "float"), F.col("vec_id") % 50 == 0, 5).collect())) == brute_top(rows, lambda i: i % 50 == 0)
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128)]
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 0, 0, 3, 11, 30 * (i > 50)]) for _ in range(3)]) for i in range(60)] + [(60, [1e300, 0.0, 0.0]), (61, [2e8, 2e8, 2e8]), (62, [2e8, -2e8, 1.0])]
+    got = sorted(map(tuple, topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 10 == 0, 5).collect()))
+    want = brute_top(rows, lambda i: i % 10 == 0)
+    assert [(q, r, s) for q, r, _, s in got] == [(q, r, s) for q, r, _, s in want]
+    exact = {(q, r) for q, r, _, s in want if abs(s) < (1 << 63) - 1}
+    assert len(exact) > 4 and [g for g in got if g[:2] in exact] == [w for w in want if w[:2] in exact]
+
+
+def test_top_k_plan_has_no_cross_join(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)]
+    plan = topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_bounds_save_products():
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(4000, 32)) * np.linspace(3, 0.1, 32) * rng.gamma(1, 1, (4000, 1)) * 200).astype(np.int64)
     x = x[np.argsort(-(x * x).sum(axis=1), kind="stable")]
     _, v = np.linalg.eigh((x.T @ x).astype(float))
     ids = np.arange(len(x))
-    a, b, s, exact = topk.search_block(ids[:20], x[:20], ids, x, v[:, ::-1].copy(), 5, (ids[:256], x[:256]), 8)
+    a, b, s, exact = topk.search_block(ids[:20], x[:20], ids, x, v[:, ::-1].copy(), 5, topk._floors(ids[:20], x[:20], ids[:256], x[:256], 5), 8)
     assert exact < 0.2 * 20 * len(x)
     for q in range(20):
         want = sorted((-(x[q] @ x[j]), j) for j in range(len(x)) if j != q)[:5]
