@@ -7,7 +7,7 @@ words is marked again and again, found by running Karp-Rabin over both sides wit
 until no run of ``least`` words is left. Coverage is the share of the item's words under tiles, so a
 passage is caught in any order of its parts.
 
-An item with fewer than ``least`` words has no tile and never matches. Null or empty texts have no words. Repeated rows are
+An item with fewer than ``least`` words has no tile: it matches if the document holds all its words running on; one without words never does. Null or empty texts have no words. Repeated rows are
 each judged; items with equal texts all match. Empty tables: no item, no match. The benchmark is
 broadcast in blocks of at most ``block_bytes`` of text, one pass over the documents for each block.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -59,24 +60,33 @@ def greedy_tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[
         places = defaultdict(list)
         for h, i in _windows(pattern, in_p, size):
             places[h].append(i)
-        found: list[tuple[int, int, int]] = []
+        heap: list[tuple[int, int, int]] = []
         for h, j in _windows(text, in_t, size) if places else ():
             for i in places.get(h, ()):
+                if i and j and pattern[i - 1] == text[j - 1] and not in_p[i - 1] and not in_t[j - 1]:
+                    continue  # part of a run that begins earlier
                 n = 0
                 while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n] and not in_p[i + n] and not in_t[j + n]:
                     n += 1
                 if n >= size:
-                    found.append((-n, i, j))
-        for n, i, j in sorted(found):
-            n = -n
-            if not any(in_p[i : i + n]) and not any(in_t[j : j + n]):
-                in_p[i : i + n] = [True] * n
-                in_t[j : j + n] = [True] * n
-                tiles.append((i, j, n))
-        if not found:  # else runs that were cut short may still be this long
-            if size == least:
-                return tiles
-            size = max(least, size // 2)
+                    heap.append((-n, i, j))
+        heapify(heap)
+        while heap:
+            n, i, j = heappop(heap)
+            free = [not in_p[i + x] and not in_t[j + x] for x in range(-n)]
+            if all(free):
+                in_p[i : i - n] = [True] * -n
+                in_t[j : j - n] = [True] * -n
+                tiles.append((i, j, -n))
+                continue
+            run = 0
+            for x, ok in enumerate([*free, False]):  # what longer tiles have left of it
+                if not ok and run >= size:
+                    heappush(heap, (-run, i + x - run, j + x - run))
+                run = run + 1 if ok else 0
+        if size == least:
+            return tiles
+        size = max(least, size // 2)
 
 
 class Items:
@@ -94,12 +104,23 @@ class Items:
         ok = np.array([len(x) >= least for x in self.words], bool)[owner] if len(owner) else np.zeros(0, bool)
         order = np.argsort(seeds[ok], kind="stable")
         self.seeds, self.owner, self.at = seeds[ok][order], owner[ok][order], at[ok][order]
+        #: Items too short for a tile, as one run each, by their number of words.
+        self.short = {}
+        for n in range(1, least):
+            own = np.flatnonzero([len(x) == n for x in self.words])
+            if len(own):
+                one, first = shingle_hashes(w, n, h)
+                order = np.argsort(one[first[own]], kind="stable")
+                self.short[n] = one[first[own]][order], own[order]
         self.gate = np.zeros(1 << 16, bool)
         self.gate[(self.seeds >> np.uint64(48)).astype(np.int64)] = True
 
     def search(self, w: Words) -> dict[int, list[tuple[int, float]]]:
         """For each text with matches: (item index, coverage)."""
         names = w.hashes()
+        found = self._held(w, names)
+        if not len(self.seeds):
+            return found
         runs, starts = shingle_hashes(w, self.least, names)
         hit = np.flatnonzero(self.gate[(runs >> np.uint64(48)).astype(np.int64)])
         low = np.searchsorted(self.seeds, runs[hit])
@@ -107,7 +128,7 @@ class Items:
         good[good] = self.seeds[low[good]] == runs[hit][good]
         hit = hit[good]
         if not len(hit):
-            return {}
+            return found
         doc = np.searchsorted(starts, hit, side="right") - 1
         first = np.searchsorted(self.seeds, runs[hit], side="left")
         count = np.searchsorted(self.seeds, runs[hit], side="right") - first
@@ -115,7 +136,6 @@ class Items:
         for d, p, f, n in zip(doc.tolist(), (hit - starts[doc]).tolist(), first.tolist(), count.tolist()):
             for s in range(f, f + n):
                 pair[d, int(self.owner[s])].append((p, int(self.at[s])))
-        found: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for (d, item), seeds in pair.items():
             mine = self.words[item]
             under = np.zeros(len(mine) + 1, np.int64)
@@ -129,6 +149,19 @@ class Items:
                 found[d].append((item, share))
         return found
 
+    def _held(self, w: Words, names: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        """Short items that a text holds whole."""
+        found: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for n, (items, own) in self.short.items():
+            runs, starts = shingle_hashes(w, n, names)
+            low, high = np.searchsorted(items, runs, "left"), np.searchsorted(items, runs, "right")
+            hit = np.flatnonzero(high > low)
+            doc = np.searchsorted(starts, hit, side="right") - 1
+            for d, at in sorted({(d, at) for d, a, b in zip(doc.tolist(), low[hit].tolist(), high[hit].tolist()) for at in range(a, b)}):
+                if w.starts[d + 1] - w.starts[d] >= n:
+                    found[d].append((int(own[at]), 1.0))
+        return found
+
     def _tiled(self, item: np.ndarray, doc: np.ndarray, at: list[int]) -> float:
         """Coverage by tiles; words of the document under no seed can be in no tile and end runs."""
         text: list[int] = []
@@ -170,7 +203,7 @@ def _searching(sent, first: bool):
         own: Items = pickle.loads(sent.value)
         for b in pieces(batches, limit=1 << 20):
             texts = as_array(b.column(b.schema.get_field_index("text")))
-            found = own.search(words(texts, ENDS, lower=True)) if len(own.seeds) else {}
+            found = own.search(words(texts, ENDS, lower=True)) if len(own.ids) else {}
             hits = [[(own.ids[i], c) for i, c in found.get(d, ())] for d in range(b.num_rows)]
             if first:
                 columns, names = b.columns, b.schema.names
