@@ -48,10 +48,10 @@ from pyspark.sql import functions as F
 
 from strata.llm.eliasfano import TrieLevel
 from strata.llm.shared import fold, small_batches, stored
-from strata.llm.text import Words, as_array, mix, pieces, ragged, split_sums, words
+from strata.llm.text import Words, as_array, mix, pieces, ragged, split_sums, tidy, words
 
 FREQUENT = 1 << 16
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 700_000
 #: Weights of the lower order in the two smoothing steps.
 A, B = 300.0, 3.0
 #: Frequent ids of the end and of the place before a text.
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """w (hash of a word) and c over the rows with ``train``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, limit=6 << 20):
+        for b in pieces(batches, limit=4 << 20):
             w = words(as_array(b.column(1)), lower=True)
             c = np.bincount(w.codes, weights=np.repeat(b.column(2).to_numpy(zero_copy_only=False), np.diff(w.starts)), minlength=len(w.distinct)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(w.hashes().view(np.int64)[c > 0]), pa.array(c[c > 0])], names=["w", "c"])
@@ -165,7 +165,7 @@ def dealt(docs: DataFrame, known, shards: int, every_context: bool = False) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Frequent = known.value
         number = TaskContext.get().partitionId() << 32
-        for whole in pieces(batches, limit=6 << 20):
+        for whole in pieces(batches, limit=4 << 20):
             for at in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(at, _ROWS)
                 train = b.column(2).to_numpy(zero_copy_only=False)
@@ -199,7 +199,7 @@ def context_requests(docs: DataFrame, known, shards: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Frequent = known.value
-        for b in pieces(batches, limit=6 << 20):
+        for b in pieces(batches, limit=4 << 20):
             w = words(as_array(b.column(1)), lower=True)
             h = w.hashes()
             rare = own.ids(h) < 0
@@ -318,7 +318,7 @@ def _shard(f: pd.DataFrame, known: Frequent, every_context: bool = False) -> pd.
     word, before, two, doc = (np.concatenate(x) for x in zip(*parts))
     del parts
     batch = np.repeat(np.arange(len(sizes)), sizes)
-    train = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[d].astype(np.float64) for t, d in zip(f["trained"], np.split(doc, np.cumsum(sizes)[:-1]))])
+    train = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[d] for t, d in zip(f["trained"], np.split(doc, np.cumsum(sizes)[:-1]))])
     with tempfile.TemporaryDirectory() as folder:
         base, score, seen = shard_sums(word, before, two, train, known, Path(folder), contexts)
     place = batch.astype(np.int64) << 16 | doc.astype(np.int64)
@@ -326,6 +326,7 @@ def _shard(f: pd.DataFrame, known: Frequent, every_context: bool = False) -> pd.
     out = np.zeros(len(spot), _SUM)
     out["doc"], out["base"], out["score"], out["known"] = spot & 0xFFFF, np.bincount(at, weights=base), np.bincount(at, weights=score), np.bincount(at, weights=seen)
     cut = np.searchsorted(spot >> 16, np.arange(len(sizes) + 1))
+    tidy()
     return pd.DataFrame({"batch": f["batch"].to_numpy(), "info": False, "data": [out[cut[i] : cut[i + 1]].tobytes() for i in range(len(sizes))]})
 
 
