@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.components import components
-from strata.llm.shared import small_batches, stored
+from strata.llm.shared import free_names, small_batches, stored
 from strata.llm.text import as_array, mix, pieces, ragged, shingle_hashes, words
 
 K = 128
@@ -236,10 +236,11 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = WORD
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that lead their class: the least doc_id (null last), then the least text hash; one row of equal ones."""
     found = stored(classes(docs, **options), "classes")
-    lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("lead")).select(F.col("lead.doc_id").alias("_doc"), F.col("lead.node").alias("_node"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    picked = rows.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_node")), "left_semi")
-    return picked.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    doc, node, hash_ = free_names(docs, "_doc", "_node", "_hash")
+    lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("lead")).select(F.col("lead.doc_id").alias(doc), F.col("lead.node").alias(node))
+    rows = docs.withColumn(hash_, F.xxhash64(F.coalesce("text", F.lit(""))))
+    picked = rows.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(hash_) == F.col(node)), "left_semi")
+    return picked.dropDuplicates(["doc_id", hash_]).select(*docs.columns)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

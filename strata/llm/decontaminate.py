@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -178,13 +178,13 @@ class Items:
         return sum(n for _, _, n in greedy_tiles(pattern, text, self.least)) / len(pattern)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of docs with ``items`` (ids of matched items, ascending) and ``coverages`` beside them."""
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = 8 << 20, names: Sequence[str] = ("items", "coverages")) -> DataFrame:
+    """All columns of docs with ``items`` (ids of matched items, ascending) and ``coverages`` beside them, under ``names``; columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    extra = ["items", "coverages"]
+    extra = list(names)
     rows = docs.select(*[c for c in docs.columns if c not in extra])
-    schema = widened(rows, "items array<bigint>, coverages array<double>")
+    schema = widened(rows, "`{}` array<bigint>, `{}` array<double>".format(*extra))
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
@@ -192,11 +192,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
     for block in range(blocks):
         some = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(pickle.dumps(Items([r[0] for r in some], [r[1] for r in some], least, coverage)))
-        rows = rows.mapInArrow(_searching(sent, len(rows.columns) < len(schema.names)), schema)
+        rows = rows.mapInArrow(_searching(sent, len(rows.columns) < len(schema.names), extra), schema)
     return rows
 
 
-def _searching(sent, first: bool):
+def _searching(sent, first: bool, extra: list[str]):
     """A pass over documents with one block of items; adds to what earlier passes found."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def _searching(sent, first: bool):
                 hits = [[*h, *zip(i, c)] for h, i, c in zip(hits, b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             hits = [sorted(h) for h in hits]
             ids, shares = [[i for i, _ in h] for h in hits], [[c for _, c in h] for h in hits]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=[*names, "items", "coverages"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=[*names, *extra])
 
     return work
 

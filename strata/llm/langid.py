@@ -8,14 +8,14 @@ part of the sample that training does not see.
 
 Nulls and texts without a letter: language ``und``, score 0. Repeated rows are each predicted; ties
 between classes go to the first label in order. Empty tables give empty results. If no labelled row can
-be learned from, every row is ``und``. Extra columns are ignored.
+be learned from, every row is ``und``. Other columns go through, but for those named as the results, which are replaced.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -225,13 +225,13 @@ def fit(docs: DataFrame, learn: Column | None = None, *, per_label: int = 600, c
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs with lang_pred, lang_score and rejected."""
+def apply(docs: DataFrame, model: LanguageModel, names: Sequence[str] = ("lang_pred", "lang_score", "rejected")) -> DataFrame:
+    """All columns of docs with lang_pred, lang_score and rejected, under ``names``; columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    extra = ["lang_pred", "lang_score", "rejected"]
+    extra = list(names)
     keep = [c for c in docs.columns if c not in extra]
-    schema = widened(docs.select(*keep), "lang_pred string, lang_score double, rejected boolean")
+    schema = widened(docs.select(*keep), "`{}` string, `{}` double, `{}` boolean".format(*extra))
     small = LanguageModel(model.labels, model.embeddings.astype(np.float32), model.weights.astype(np.float32), model.bias, model.temperature, model.threshold)
     sent = spark.sparkContext.broadcast(pickle.dumps(small))
 
@@ -239,8 +239,8 @@ def apply(docs: DataFrame, model: LanguageModel) -> DataFrame:
         own: LanguageModel = pickle.loads(sent.value)
         table = own.embeddings @ own.weights.T
         for b in pieces(batches, limit=1 << 19):
-            names, score, rejected = own.predict(as_array(b.column(b.schema.get_field_index("text"))).to_pylist(), table)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names, *extra])
+            found, score, rejected = own.predict(as_array(b.column(b.schema.get_field_index("text"))).to_pylist(), table)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names, *extra])
 
     return docs.select(*keep).mapInArrow(work, schema)
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import small_batches, stored
+from strata.llm.shared import free_names, small_batches, stored
 from strata.llm.text import as_array, cut, mix, pieces, ragged, raw, sorted_distinct, tidy
 
 SIMILARITY = 0.8
@@ -469,14 +469,15 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by doc_id and text; of equal ones the first stays. n_chars, if there, follows the text.
     """
     found = stored(line_links(docs, **options), "links")
-    first = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", "rid").alias("_removed"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    once = rows.dropDuplicates(["doc_id", "_hash"])
-    met = once.join(first.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash2"), "_removed"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_hash2")))
-    kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("_removed", s["i"])), lambda s: s["x"])
-    text = F.when(F.size("_removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = met.withColumn("_new", text).where((F.size("_removed") == 0) | F.col("_new").rlike(r"[^ \t-\r]"))
-    out = out.withColumn("text", F.col("_new"))
+    gone, doc, hash_, other, new = free_names(docs, "_removed", "_doc", "_hash", "_other", "_new")
+    first = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", "rid").alias(gone))
+    rows = docs.withColumn(hash_, F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = rows.dropDuplicates(["doc_id", hash_])
+    met = once.join(first.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(other), gone), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(hash_) == F.col(other)))
+    kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(gone, s["i"])), lambda s: s["x"])
+    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = met.withColumn(new, text).where((F.size(gone) == 0) | F.col(new).rlike(r"[^ \t-\r]"))
+    out = out.withColumn("text", F.col(new))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -56,6 +56,17 @@ def spread(column: str = "doc_id", buckets: int = 1 << 20, seed: int = 11) -> Co
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(buckets))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it differ from the columns of df in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def widened(df: DataFrame, more: str) -> StructType:
     """The schema of df with the columns of the schema string after it."""
     return StructType([*df.schema.fields, *_parse_datatype_string(more).fields])

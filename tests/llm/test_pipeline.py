@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from strata.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -41,6 +42,34 @@ def test_stages(spark, folder):
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in kept["byte_bpe"].values())
 
 
+def test_clashing_columns_come_through(spark, folder):
+    """Extra columns named as what stages use inside keep their values."""
+    names = ["lang_pred", "lang_score", "Rejected", "_removed", "_doc", "_hash", "_hash2", "_new", "_node", "_other", "items", "coverages", "ids", "decoded", "rid", "removed", "root", "node", "key", "first"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+
+
+def test_empty_and_repeated_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    twice, base = docs.union(docs), {}
+    for name, stage in corpus_pipeline.STAGES:
+        base[name] = stage(spark, docs, folder)
+    stages = dict(corpus_pipeline.STAGES)
+    key = ["doc_id", "text"]
+    for name in ("line_dedup", "near_dedup"):
+        assert sorted(map(tuple, stages[name](spark, twice, folder).select(*key).collect()), key=repr) == sorted(map(tuple, base[name].select(*key).collect()), key=repr)
+    assert stages["decontamination"](spark, twice, folder).count() == 2 * base["decontamination"].count()
+    assert stages["byte_bpe"](spark, twice, folder).count() == 2 * base["byte_bpe"].count()
+
+
 def test_run_equals_stages(spark, folder):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} >= set(range(150))
 
