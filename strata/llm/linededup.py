@@ -14,6 +14,9 @@ removed. Lines without a word are kept and compared with nothing.
    Equal lines were folded; of each line the shards keep the ``near`` closest earlier partners, and
    say so if there were more. Candidates are verified exactly, the closest first. A line that had more and was not settled
    is asked again without that bound, so no match is lost and a group of near copies isn't written out as all its pairs.
+   That settles which lines go, and the pipeline needs no more. ``line_join`` gives the whole join: shards keep all partners,
+   all candidates are verified, and each set of words gets its number of links (similar sets other than itself; equal lines are
+   folded) and its class, the connected component of its links, named by the doc_id of its first line.
 
 Word hashes are 32-bit within a pair and set hashes 64-bit. Nulls count as empty texts. A null doc_id comes
 first. Repeated doc_ids are ordered by their stored row; a later equal row loses all its lines. Very long lines are compared like any.
@@ -33,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.components import components
 from strata.llm.shared import free_names, small_batches, stored
 from strata.llm.text import as_array, cut, mix, pieces, ragged, raw, sorted_distinct, tidy
 
@@ -400,13 +404,16 @@ def verified(lines: DataFrame, pairs: DataFrame, t: float, most: int = KNOWN_MOS
     return both.mapInArrow(work, "x bigint, y bigint, link bigint")
 
 
-def removed_lines(lines: DataFrame, *, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
-    """rid, removed (line numbers) and links (a doc_id with an earlier similar line for each) of documents that lose lines."""
+def _prepared(lines: DataFrame) -> tuple:
+    """Broadcast rarity of the word buckets, and the number of shards."""
+    total = lines.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    return lines.sparkSession.sparkContext.broadcast(rarity(lines).tobytes()), max(1, math.ceil(total / 4 / 3_000_000))
+
+
+def first_matches(lines: DataFrame, t: float, near: int) -> DataFrame:
+    """x, y, link: for each set y that is similar to an earlier one at least one such pair."""
     spark = lines.sparkSession
-    t = similarity
-    total = lines.agg(F.sum(F.octet_length("words")), F.count("*")).first()
-    shards = max(1, math.ceil((total[0] or 0) / 4 / 3_000_000))
-    levels = spark.sparkContext.broadcast(rarity(lines).tobytes())
+    levels, shards = _prepared(lines)
     index = indexed(lines, levels, shards, t)
     rank = F.row_number().over(Window.partitionBy("y").orderBy("far", "x"))
     pairs = stored(candidates(index, t, near).withColumn("rank", rank), "candidates")
@@ -422,8 +429,26 @@ def removed_lines(lines: DataFrame, *, similarity: float = SIMILARITY, near: int
         buckets = spark.sparkContext.broadcast(_buckets_of(lines, sets))
         again = stored(candidates(indexed(lines, levels, shards, t, buckets), t, None, sets), "candidates")
         good = good.union(stored(verified(lines, again, t), "similar"))
+    return good
+
+
+def all_matches(lines: DataFrame, t: float) -> DataFrame:
+    """x, y, link: every pair of similar sets, x the earlier."""
+    levels, shards = _prepared(lines)
+    pairs = stored(candidates(indexed(lines, levels, shards, t), t, None), "candidates")
+    return stored(verified(lines, pairs, t), "similar")
+
+
+def _by_set(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines with words by set, and for each set its first place and number of lines."""
     spots = lines.mapInArrow(_spots, "set bigint, doc bigint, rid bigint, line int")
-    by_set = spots.groupBy("set").agg(F.min(F.struct("doc", "rid", "line")).alias("first"), F.count("*").alias("n"))
+    return spots, spots.groupBy("set").agg(F.min(F.struct("doc", "rid", "line")).alias("first"), F.count("*").alias("n"))
+
+
+def removed_lines(lines: DataFrame, *, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
+    """rid, removed (line numbers) and links (a doc_id with an earlier similar line for each) of documents that lose lines."""
+    good = first_matches(lines, similarity, near)
+    spots, by_set = _by_set(lines)
     firsts = by_set.join(good.groupBy(F.col("y").alias("set")).agg(F.min("link").alias("link")), "set", "left").where((F.col("n") > 1) | F.col("link").isNotNull())
     firsts = stored(firsts.select("set", "first", "link"), "firsts")
     gone = spots.join(firsts, "set").where(F.col("link").isNotNull() | (F.struct("doc", "rid", "line") != F.col("first")))
@@ -431,6 +456,35 @@ def removed_lines(lines: DataFrame, *, similarity: float = SIMILARITY, near: int
     return gone.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("line", "link"))).alias("g")).select("rid", F.col("g.line").alias("removed"), F.col("g.link").alias("links"))
 
 
+def line_join(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each document: doc_id, rid, n_lines, n_links, removed and classes.
+
+    n_links sums over its lines the sets of other words that each is similar to; removed has the numbers of lines that an earlier
+    line matches; classes has (line, class) of each line that is linked or repeated, class being the doc_id of the first line of its class.
+    """
+    small_batches(docs.sparkSession)
+    lines = stored(line_sets(docs), "lines", compression="none")
+    good = all_matches(lines, similarity)
+    ends = good.select(F.col("x").alias("set"), F.lit(False).alias("later")).union(good.select(F.col("y").alias("set"), F.lit(True).alias("later")))
+    linked = ends.groupBy("set").agg(F.count("*").alias("links"), F.max("later").alias("later"))
+    spots, by_set = _by_set(lines)
+    known = by_set.join(linked, "set", "left").join(components(good, "x", "y").withColumnRenamed("node", "set"), "set", "left").where((F.col("n") > 1) | F.col("links").isNotNull())
+    known = stored(known.select("set", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("root", "set").alias("root")), "sets")
+    known = known.join(known.groupBy("root").agg(F.min("first").alias("lead")), "root").select("set", "first", "links", "later", F.col("lead.doc").alias("class"))
+    met = spots.join(known, "set").select("rid", F.struct("line", "class", "links", (F.col("later") | (F.struct("doc", "rid", "line") != F.col("first"))).alias("gone")).alias("g"))
+    per_doc = met.groupBy("rid").agg(F.sort_array(F.collect_list("g")).alias("g"))
+    none = F.col("g").isNull()
+    out = lines.select("doc_id", "rid", "n_lines").join(per_doc, "rid", "left")
+    return out.select(
+        "doc_id",
+        "rid",
+        "n_lines",
+        F.when(none, F.lit(0).cast("long")).otherwise(F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["links"])).alias("n_links"),
+        F.when(none, F.array().cast("array<int>")).otherwise(F.transform(F.filter("g", lambda x: x["gone"]), lambda x: x["line"])).alias("removed"),
+        F.when(none, F.array().cast("array<struct<line:int,class:bigint>>")).otherwise(F.transform("g", lambda x: F.struct(x["line"].alias("line"), F.nullif(x["class"], F.lit(_FIRST)).alias("class")))).alias("classes"),
+    )
+
+
 def _buckets_of(lines: DataFrame, sets) -> bytes:
     """Packed flags of the word buckets that the sets have; each task sends its distinct bytes."""
 
@@ -484,22 +538,28 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = line_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_links"), F.array_join("removed", ",").alias("removed"))
+    out = line_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    classes = F.array_join(F.transform("classes", lambda x: F.concat_ws(":", x["line"], x["class"])), ",")
+    return out.select("doc_id", "n_lines", "n_links", F.array_join("removed", ",").alias("removed"), classes.alias("classes"))
 
 
 OP6_SQL = r"""
-WITH p AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS pos, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS pos, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, pos, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM p),
 y AS MATERIALIZED (SELECT doc_id, pos, CAST(line AS INTEGER) AS line, list_sort(list_distinct(list_filter(string_split_regex(t, '[ \t-\r]+'), lambda w: w <> ''))) AS s FROM x),
-z AS MATERIALIZED (SELECT s, arg_min(doc_id, pos * 1000000 + line) AS doc, min(pos * 1000000 + line) AS first FROM y WHERE len(s) > 0 GROUP BY s),
-n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) AS n, s, len(s) AS c, doc, first FROM z),
+z AS MATERIALIZED (SELECT s, arg_min(doc_id, pos * 1000000 + line) AS doc, min(pos * 1000000 + line) AS first, count(*) AS times FROM y WHERE len(s) > 0 GROUP BY s),
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) AS n, s, len(s) AS c, doc, first, times FROM z),
 u AS (SELECT n, c, unnest(s) AS w FROM n),
 f AS (SELECT w, count(*) AS df FROM u GROUP BY w),
 q AS MATERIALIZED (SELECT n, w FROM (SELECT u.n, u.w, u.c, row_number() OVER (PARTITION BY u.n ORDER BY df, u.w) AS i FROM u JOIN f ON f.w = u.w) WHERE i <= c - ceil(0.8 * c) + 1),
 cand AS (SELECT DISTINCT a.n AS a, b.n AS b FROM q a JOIN q b ON a.w = b.w AND a.n < b.n),
-m AS (SELECT cand.b AS n FROM cand JOIN n x ON x.n = cand.a JOIN n y ON y.n = cand.b WHERE least(x.c, y.c) >= 0.8 * greatest(x.c, y.c) AND len(list_intersect(x.s, y.s)) >= 0.8 * (x.c + y.c - len(list_intersect(x.s, y.s)))),
-g AS (SELECT y.pos, y.line FROM y JOIN n ON n.s = y.s WHERE y.pos * 1000000 + y.line > n.first OR n.n IN (SELECT n FROM m)),
-h AS (SELECT pos, list_sort(list(line)) AS removed FROM g GROUP BY pos)
-SELECT p.doc_id, CAST(len(ls) AS INTEGER) AS n_lines, CAST(coalesce(len(removed), 0) AS INTEGER) AS n_links, coalesce(array_to_string(removed, ','), '') AS removed FROM p LEFT JOIN h ON h.pos = p.pos
+e AS MATERIALIZED (SELECT cand.a, cand.b FROM cand JOIN n x ON x.n = cand.a JOIN n y ON y.n = cand.b WHERE least(x.c, y.c) >= 0.8 * greatest(x.c, y.c) AND len(list_intersect(x.s, y.s)) >= 0.8 * (x.c + y.c - len(list_intersect(x.s, y.s)))),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+d AS (SELECT a AS n, count(*) AS links, min(b) AS least FROM l GROUP BY a),
+r AS (SELECT DISTINCT a AS n, a AS m FROM l UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.n),
+k AS (SELECT n, min(m) AS k FROM r GROUP BY n),
+i AS (SELECT n.n, n.s, n.first, n.times, coalesce(d.links, 0) AS links, coalesce(d.least < n.n, FALSE) AS later, coalesce(k.k, n.n) AS k FROM n LEFT JOIN d ON d.n = n.n LEFT JOIN k ON k.n = n.n WHERE times > 1 OR d.links IS NOT NULL),
+g AS (SELECT y.pos, y.line, i.links, later OR y.pos * 1000000 + y.line > i.first AS gone, lead.doc AS class FROM y JOIN i ON i.s = y.s JOIN n lead ON lead.n = i.k),
+h AS (SELECT pos, CAST(sum(links) AS BIGINT) AS n_links, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (gone) AS removed, string_agg(line || ':' || class, ',' ORDER BY line) AS classes FROM g GROUP BY pos)
+SELECT p.doc_id, CAST(len(ls) AS INTEGER) AS n_lines, coalesce(n_links, 0) AS n_links, coalesce(removed, '') AS removed, coalesce(classes, '') AS classes FROM p LEFT JOIN h ON h.pos = p.pos
 """

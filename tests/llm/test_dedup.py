@@ -150,6 +150,58 @@ def test_removed_lines_equal_brute_force(spark, monkeypatch, near):
     assert all(len(r["links"]) == len(r["removed"]) and all(x <= r["doc_id"] for x in r["links"]) for r in got)
 
 
+def brute_join(rows, t=0.8):
+    """doc_id, n_lines, n_links, removed and (line, class) of rows in order of doc_id."""
+    places, first = [], {}
+    for d, text in rows:
+        for n, line in enumerate((text or "").split("\n")):
+            s = frozenset(line.split())
+            if s:
+                first.setdefault(s, (d, n))
+                places.append((d, n, s))
+    sets = list(first)  # by first place
+    links, parent = Counter(), {s: s for s in sets}
+
+    def find(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    later = set()
+    for j, b in enumerate(sets):
+        for a in sets[:j]:
+            if len(a & b) >= t * len(a | b) - 1e-9:
+                links.update((a, b))
+                later.add(b)
+                a, c = sorted((find(a), find(b)), key=sets.index)
+                parent[c] = a
+    times = Counter(s for _, _, s in places)
+    out = []
+    for d, text in rows:
+        mine = [(n, s) for e, n, s in places if e == d]
+        out.append((d, len((text or "").split("\n")), sum(links[s] for _, s in mine), [n for n, s in mine if s in later or first[s] != (d, n)], [(n, first[find(s)][0]) for n, s in mine if times[s] > 1 or links[s]]))
+    return out
+
+
+@pytest.mark.parametrize("hot,most", [(4096, 1_000_000), (4, 0)])
+def test_line_join_equals_brute_force(spark, monkeypatch, no_docs, edge_docs, hot, most):
+    monkeypatch.setattr(L, "HOT", hot)
+    monkeypatch.setattr(L.verified, "__defaults__", (most,))
+    rows = line_rows()
+    rng = random.Random(9)
+    base = [f"k{i}" for i in range(30)]
+    rows += [(100 + i, " ".join(mutated(rng, base, rng.randrange(0, 4)))) for i in range(40)]  # chains: similar to a neighbour only
+    rows += [(200, None), (201, "")]
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    got = L.line_join(spark.createDataFrame(shuffled, "doc_id bigint, text string").repartition(3)).collect()
+    mine = sorted((r["doc_id"], r["n_lines"], r["n_links"], list(r["removed"]), [tuple(c) for c in r["classes"]]) for r in got)
+    assert mine == brute_join(rows) and sum(r[2] for r in mine) > 200
+    assert L.line_join(no_docs).count() == 0
+    edge = L.line_join(edge_docs).collect()
+    assert len(edge) == edge_docs.count() and all(r["n_links"] is not None for r in edge)
+
+
 def test_hot_words_are_dealt_over_cells(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT", 4)
     rows = line_rows()
