@@ -463,7 +463,7 @@ def line_join(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     line matches; classes has (line, class) of each line that is linked or repeated, class being the doc_id of the first line of its class.
     """
     small_batches(docs.sparkSession)
-    lines = stored(line_sets(docs), "lines", compression="none")
+    lines = stored(line_sets(docs), "lines", compression="zstd")
     good = all_matches(lines, similarity)
     ends = good.select(F.col("x").alias("set"), F.lit(False).alias("later")).union(good.select(F.col("y").alias("set"), F.lit(True).alias("later")))
     linked = ends.groupBy("set").agg(F.count("*").alias("links"), F.max("later").alias("later"))
@@ -511,7 +511,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_links(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, rid, text_hash, n_lines, removed and links."""
     small_batches(docs.sparkSession)
-    lines = stored(line_sets(docs), "lines", compression="none")
+    lines = stored(line_sets(docs), "lines", compression="zstd")
     gone = removed_lines(lines, **options)
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     return lines.select("doc_id", "rid", "text_hash", "n_lines").join(gone, "rid", "left").select("doc_id", "rid", "text_hash", "n_lines", F.coalesce("removed", none[0]).alias("removed"), F.coalesce("links", none[1]).alias("links"))
