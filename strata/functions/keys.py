@@ -52,6 +52,28 @@ def descending_text(column: Column) -> Column:
     return F.lpad((F.lit(str(U64_MAX)).cast("decimal(20,0)") - column.cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
 
 
+#: FNV-1a of 64 bits. The offset basis as a signed number, and the prime 2^40 + 435.
+FNV_BASIS = 14695981039346656037 - (1 << 64)
+FNV_LOW = 435
+
+
+def fnv1a(data: Column) -> Column:
+    """64-bit FNV-1a of binary values, as a signed long. The product is put together from halves, as a long must not overflow."""
+    word = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, byte: Column) -> Column:
+        x = h.bitwiseXOR(byte)
+        low, high = x.bitwiseAND(word), F.shiftrightunsigned(x, 32)
+        product = low * FNV_LOW
+        top = (high * FNV_LOW + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)).bitwiseAND(word)
+        return F.shiftleft(top, 32).bitwiseOR(product.bitwiseAND(word))
+
+    places = F.sequence(F.lit(1), F.greatest(F.length(data), F.lit(1)))
+    each = F.transform(places, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    basis = F.lit(FNV_BASIS).cast("long")
+    return F.when(F.length(data) == 0, basis).otherwise(F.aggregate(each, basis, step))
+
+
 def in_range(k: Column, start: bytes | str | None, end: bytes | str | None) -> Column:
     """start <= k < end; None is unbounded, an empty end is an empty range. Both bounds reach the scan."""
     ok = F.lit(True) if start is None or len(start) == 0 else k >= F.lit(start)

@@ -95,3 +95,8 @@ def integrity_totals(live: DataFrame) -> DataFrame:
 
 def write_amplification(written: Column, asked: Column) -> Column:
     return F.when(asked > 0, written / asked)
+
+
+def average_batch(operations: Column) -> Column:
+    """Operations of a batch on average; null without batches."""
+    return F.avg(operations)

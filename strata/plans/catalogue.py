@@ -16,6 +16,7 @@ from strata.operators import measure as M
 from strata.operators import reads as R
 from strata.operators import resolve as V
 from strata.operators import stats as S
+from strata.plans import store_queries
 from strata.sources.logs import events_log, lines_log, runs_of, table, turns_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,3 +485,9 @@ def batch_faults(spark, d):
     o = table(spark, d, "orders")
     batch = o.select(F.when(F.col("o_orderstatus") == "P", "merge").otherwise("put").alias("op"), F.col("o_orderkey").cast("string").cast("binary").alias("k"), F.when(~F.col("o_orderpriority").startswith("1"), F.lit("x")).cast("binary").alias("v"), F.col("o_orderkey").alias("ord"))
     return B.faults(batch).select("ord", "reason")
+
+
+# Stores ---------------------------------------------------------------------------------------
+
+QUERIES |= store_queries.QUERIES
+ORACLE_SQL |= store_queries.ORACLE_SQL

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.keys import padded
+from strata.schema import InvalidArgument
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the folder that spark.checkpoint.dir names, which must be one that the driver and all executors mount."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise InvalidArgument("spark.checkpoint.dir is not set")
+        named = tempfile.mkdtemp(prefix="strata-")
+    where = urlsplit(named)
+    if where.scheme not in ("", "file"):
+        raise InvalidArgument(f"a store needs a mounted folder, not {named}")
+    return f"{where.path}/store-{uuid.uuid4().hex}"
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version of a user's key for each event; errors delete."""
     e = table(spark, sf_dir, "events")
