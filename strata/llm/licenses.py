@@ -2,7 +2,7 @@
 
 Words are lower-cased runs between blanks and ASCII punctuation. Every template has cues, its words least common over all
 templates, which occur in it once more at least than words may be missing at ``coverage``, so that a covered notice keeps one;
-around each cue of a document lies a window as wide as the template on either side. Template and window are aligned: words unique to both are anchors, the longest increasing
+around each cue of a document lies a window as wide as the template on either side, and if the template is not found whole there, one as wide as the longest place that ``density`` allows. Template and window are aligned: words unique to both are anchors, the longest increasing
 subsequence of anchors is kept, and the gaps between anchors are aligned the same way; a gap without unique words
 falls back to a longest common subsequence, bounded by the window. Coverage is the share of the template's words
 that are matched. A template is found if coverage reaches ``coverage`` and the matched words make up at least
@@ -130,28 +130,36 @@ class Templates:
         self.words = [Counter(t) for _, t in self.items]
         self.vocabulary = np.sort(np.array(list(self.cues), np.uint64))
 
+    def _place(self, doc: list[int], k: int, p: int, reach: int, coverage: float, density: float) -> tuple[int, int, int] | None:
+        """First and last word and matched words of template k around the cue at p, if it is covered there."""
+        t, own = self.items[k][1], self.words[k]
+        low, high = max(0, p - reach), min(len(doc), p + reach + 1)
+        spare = len(t) - least_matched(len(t), coverage)
+        near = doc[low:high]
+        if len(own) - len(own.keys() & set(near)) > spare:
+            return None
+        here = Counter(x for x in near if x in own)
+        if sum(n - min(n, here[x]) for x, n in own.items()) > spare:
+            return None
+        pairs = align(t, near)
+        if len(pairs) < coverage * len(t):
+            return None
+        first, last = low + pairs[0][1], low + pairs[-1][1]
+        return (first, last, len(pairs)) if len(pairs) >= density * (last - first + 1) else None
+
     def scan(self, doc: list[int], at: list[int], coverage: float, density: float) -> list[tuple[str, int, int, int, float]]:
         """Licences of a document with cues at the places ``at``."""
         places: dict[tuple[str, int, int, int], int] = {}
-        done: set[tuple[int, int]] = set()
         for p in at:
             for k in self.cues[doc[p]]:
                 name, t = self.items[k]
-                low, high = max(0, p - len(t)), min(len(doc), p + len(t) + 1)
-                own, spare = self.words[k], len(t) - least_matched(len(t), coverage)
-                if (k, p) in done or len(own) - len(own.keys() & set(near := doc[low:high])) > spare:
-                    continue
-                done.add((k, p))
-                here = Counter(x for x in near if x in own)
-                if sum(n - min(n, here[x]) for x, n in own.items()) > spare:
-                    continue
-                pairs = align(t, doc[low:high])
-                if len(pairs) < coverage * len(t):
-                    continue
-                first, last = low + pairs[0][1], low + pairs[-1][1]
-                if len(pairs) < density * (last - first + 1):
-                    continue
-                places[name, len(t), first, last] = max(len(pairs), places.get((name, len(t), first, last), 0))
+                for reach in (len(t), math.ceil(len(t) / density)):  # a place may be as long as its density allows
+                    place = self._place(doc, k, p, reach, coverage, density)
+                    if place is not None:
+                        first, last, matched = place
+                        places[name, len(t), first, last] = max(matched, places.get((name, len(t), first, last), 0))
+                        if matched == len(t):
+                            break
         starts: list[int] = []
         taken: list[tuple[int, str]] = []  # last word and licence of places that don't overlap, by first word
         order = sorted(((name, n, first, last, m) for (name, n, first, last), m in places.items()), key=lambda x: (-x[4], -x[4] / x[1], x[0], x[2], x[3]))

@@ -8,7 +8,7 @@ broadcast; each block of documents meets all of them in one exact matrix product
 the ``neighbours`` nearest vote with their similarity as weight.
 
 The score is the weighted share of votes for label 1. Null or empty texts, and texts with no similarity to any
-labelled one, get the sample's share of label 1. Ties among neighbours go to the earlier of the sample, sorted by doc_id. Labels that
+labelled one, get the sample's share of label 1. Cosines are compared in steps of 2^-16; ties among neighbours go to the earlier of the sample, sorted by doc_id. Labels that
 are null are left out; several labels of a doc_id count by their mean (0.5 and more is 1). Repeated rows are each scored. Without any label
 all scores are 0.5. Empty tables give no rows. Other columns are left out.
 """
@@ -83,8 +83,10 @@ class QualityModel:
         if not len(self.labels) or not len(texts):
             return np.full(len(texts), self.prior)
         cosine = self.embed(texts) @ self.vectors.T
-        k = min(self.neighbours, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        n, k = len(self.labels), min(self.neighbours, len(self.labels))
+        # unique whole numbers: the cosine in steps of 2^-16, then the place in the sample, so that ties do not depend on the block
+        rank = np.rint(cosine * (1 << 16)).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
         total = weight.sum(axis=1)
         return np.where(total > 1e-9, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), self.prior).clip(0, 1)

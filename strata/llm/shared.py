@@ -11,10 +11,12 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of its own only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share; one of its own only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = tempfile.mkdtemp(prefix="strata-")

@@ -233,3 +233,47 @@ def test_a_licence_also_inside_another_is_found_where_it_stands_alone(name, chan
     found = {f[0]: f[1:] for f in own.scan(doc, [p for p, x in enumerate(doc) if x in own.cues], 0.85, 0.6)}
     assert found["GPL-3.0"][:2] == (0, len(text["GPL-3.0"]) - 1)
     assert found[name][0] >= len(text["GPL-3.0"]) + 100
+
+
+@pytest.mark.parametrize("cue_at", ["first", "last"])
+def test_a_notice_with_many_words_put_in_is_found_from_any_cue(cue_at):
+    """The place is 1.5 times as long as the template; a single cue stands at one end of it."""
+    own = licenses.Templates(licenses.NOTICES)
+    name, t = max(own.items, key=lambda x: len(x[1]))
+    doc, new = [*range(40)], 10**6
+    for i, x in enumerate(t):
+        doc.append(x)
+        if i % 2:
+            doc.append(new + i)
+    doc += range(40)
+    spots = [p for p, x in enumerate(doc) if own.cues.get(x) and any(own.items[k] == (name, t) for k in own.cues[x])]
+    found = own.scan(doc, [spots[0] if cue_at == "first" else spots[-1]], 0.85, 0.6)
+    assert [(f[0], f[3]) for f in found if f[0] == name] == [(name, len(t))]
+
+
+def brute_scan(own, doc, coverage, density):
+    """Licences any of whose templates are covered by an alignment of some window of the document."""
+    found = set()
+    for name, t in own.items:
+        for n in {len(t), math.ceil(len(t) / density)}:
+            for low in range(0, max(1, len(doc) - n + 1)):
+                pairs = licenses.align(t, doc[low : low + n])
+                if len(pairs) >= coverage * len(t) and len(pairs) >= density * (pairs[-1][1] - pairs[0][1] + 1):
+                    found.add(name)
+    return found
+
+
+def test_scan_equals_brute_force_on_small_templates():
+    rng = random.Random(15)
+    notices = {"A": ["alpha beta gamma delta epsilon zeta eta theta"], "B": ["one two three four one five six seven nine ten"], "C": ["red green blue red green pink"]}
+    own = licenses.Templates(notices, 0.75)
+    texts = {name: t for name, t in own.items}
+    for _ in range(150):
+        doc = [rng.randrange(50) for _ in range(rng.randrange(12))]
+        for name in rng.sample(sorted(texts), rng.randrange(0, 3)):
+            part = [x if rng.random() < 0.85 else rng.randrange(50) for x in texts[name]]
+            for _ in range(rng.randrange(3)):
+                part.insert(rng.randrange(len(part)), rng.randrange(50))
+            doc += [*part, *(rng.randrange(50) for _ in range(rng.randrange(25)))]
+        found = {f[0] for f in own.scan(doc, [p for p, x in enumerate(doc) if x in own.cues], 0.75, 0.6)}
+        assert found == brute_scan(own, doc, 0.75, 0.6)
