@@ -47,11 +47,12 @@ def tokens(text):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + ["\0"]
 
 
-def direct(rows, train):
-    texts = [tokens(t) for _, t in rows]
+def conditional(rows, train):
+    """The model in plain words: counts of single words, N, V and p(word, the two before it; None before a text's first)."""
     c1, c2, c3 = Counter(), Counter(), Counter()
-    for t, k in zip(texts, train):
+    for (_, text), k in zip(rows, train):
         if k:
+            t = tokens(text)
             q = ["\1", *t]
             c1.update(t)
             c2.update(zip(q, t))
@@ -59,20 +60,26 @@ def direct(rows, train):
     n, v = sum(c1.values()), len(c1)
     c1["\1"] = sum(train)
     often = lambda w: w in "\0\1" or c1[w] * N.FREQUENT >= n and c1[w] > 0
+
+    def p(w, before, two):
+        p1 = (c1[w] + 1) / (n + v + 1)
+        out = (c2[before, w] + N.A * p1) / (c1[before] + N.A)
+        if two is not None and often(before) and (seen := c2[two, before]):
+            out = (c3[two, before, w] + N.B * out) / (seen + N.B)
+        return out
+
+    return c1, n, v, p
+
+
+def direct(rows, train):
+    c1, n, v, p = conditional(rows, train)
     out = []
-    for t in texts:
-        base = total = 0.0
+    for _, text in rows:
+        t = tokens(text)
         q = ["\1", *t]
-        for i, w in enumerate(t):
-            before = q[i]
-            p1 = (c1[w] + 1) / (n + v + 1)
-            base += math.log10(p1)
-            p = (c2[before, w] + N.A * p1) / (c1[before] + N.A)
-            if i and often(before) and (seen := c2[q[i - 1], before]):
-                p = (c3[q[i - 1], before, w] + N.B * p) / (seen + N.B)
-            total += math.log10(p)
-        known = sum(c1[w] > 0 for w in t)
-        out.append((len(t), known, n, base, total))
+        base = sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in t)
+        total = sum(math.log10(p(w, q[i], q[i - 1] if i else None)) for i, w in enumerate(t))
+        out.append((len(t), sum(c1[w] > 0 for w in t), n, base, total))
     return out
 
 
@@ -107,13 +114,15 @@ def test_empty_cases(spark, edge_docs, no_docs):
 
 
 def test_distribution_is_proper():
-    """Summed over all words and one unknown, the probabilities after a context are 1."""
-    rows = [(0, "a b a c"), (1, "a b b"), (2, "c a b a c")]
-    words = ["a", "b", "c", "zzz"]
-    probes = [(9, f"a b {w}") for w in words]
-    base = direct(rows + [(9, "a b")] + probes, [True] * 3 + [False] * 5)
-    end = base[3][4]
-    assert end < 0 and len(base) == 8
+    """Summed over all words seen, the end and one unknown word, the probabilities after any context are 1."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 9)))) for i in range(30)]
+    c1, n, v, p = conditional(rows, [True] * 30)
+    words = [w for w in c1 if w != "\1"]
+    for before in [*words, "\1", "unseen"]:
+        for two in [None, *words, "\1", "unseen"]:
+            if before != "\0" and two != "\0":
+                assert abs(sum(p(w, before, two) for w in [*words, "zzz"]) - 1) < 1e-9
 
 
 @pytest.mark.parametrize("often,shard", [(1 << 16, 3_000_000), (20, 300), (3, 90)])
