@@ -14,9 +14,14 @@ removed. Lines without a word are kept and compared with nothing.
    Equal lines were folded; of each line the shards keep the ``near`` closest earlier partners, and
    say so if there were more. Candidates are verified exactly, the closest first. A line that had more and was not settled
    is asked again without that bound, so no match is lost and a group of near copies isn't written out as all its pairs.
-   That settles which lines go, and the pipeline needs no more. ``line_join`` gives the whole join: shards keep all partners,
-   all candidates are verified, and each set of words gets its number of links (similar sets other than itself; equal lines are
-   folded) and its class, the connected component of its links, named by the doc_id of its first line.
+   That settles which lines go, and the pipeline needs no more.
+5. ``line_join`` gives the whole join: each set of words gets its number of links (similar sets other than itself; equal lines
+   are folded) and its class, the connected component of its links, named by the doc_id of its first line. No pair leaves a
+   shard. Each round marks in tables of bits what the next one sends; a false mark costs a little work. The first round marks
+   the sets and entries that have a partner. The second sends those entries with the words before them and wider parities, and
+   marks the entries that still have a partner and share no rarer word with it. The third sends those with all words of
+   their sets: a shard verifies every pair whose rarest common word it has, so each pair counts once, and returns a row for
+   each set: its links, whether one is earlier, and the least set of its component there. Components of these rows are the classes.
 
 Word hashes are 32-bit within a pair and set hashes 64-bit. Nulls count as empty texts. A null doc_id comes
 first. Repeated doc_ids are ordered by their stored row; a later equal row loses all its lines. Very long lines are compared like any.
@@ -26,7 +31,7 @@ Empty tables give no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,6 +53,9 @@ NEAR = 12
 TRIED = 1
 LONG = 64
 KNOWN_MOST = 1_000_000
+MARK_BITS = 28
+WIDE = 4
+VERIFIED = 4_000_000
 
 LINES = "doc_id bigint, rid bigint, text_hash bigint, n_lines int, line_no binary, sets binary, sizes binary, words binary"
 _ENTRY = np.dtype([("word", "<u4"), ("cell", "<u4"), ("set", "<i8"), ("sketch", "<u8"), ("sketch2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4")])
@@ -170,6 +178,12 @@ def sketches(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
+def _dealt(sets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each set in the groups of words of the levels, and the number of blocks."""
+    blocks = np.maximum(1, np.ceil(_count_of(level) / HOT)).astype(np.int64)
+    return (mix(sets.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % blocks, blocks
+
+
 def entries(doc: np.ndarray, rid: np.ndarray, line: np.ndarray, sets: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float, buckets: np.ndarray | None = None) -> np.ndarray:
     """Prefix entries of lines, dealt over cells if hot; words that only one line has, or that are not in ``buckets``, are left out."""
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -184,8 +198,7 @@ def entries(doc: np.ndarray, rid: np.ndarray, line: np.ndarray, sets: np.ndarray
     if buckets is not None:
         keep &= buckets[word >> np.uint32(32 - BUCKET_BITS)]
     word, level, owner, at = word[keep], level[keep], owner[keep], at[keep]
-    blocks = np.maximum(1, np.ceil(_count_of(level) / HOT)).astype(np.int64)
-    mine = (mix(sets.view(np.uint64))[owner] >> np.uint64(20)).astype(np.int64) % blocks
+    mine, blocks = _dealt(sets[owner], level)
     source = np.repeat(np.arange(len(word)), blocks)
     other = ragged(np.zeros(len(word), np.int64), blocks)
     a, b = np.minimum(mine[source], other), np.maximum(mine[source], other)
@@ -237,10 +250,13 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {c: np.concatenate(x) for c, x in parts.items()}
 
 
-def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None) -> DataFrame:
+def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None, *, places: bool = True, marked=None, ahead: bool | None = None) -> DataFrame:
     """shard and packed entries: a row for each shard that a batch of documents has entries for.
 
-    ``buckets``: packed flags of the word buckets to send, if not all.
+    ``buckets``: packed flags of the word buckets to send, if not all; ``marked``: a table of marks of the entries to send. Without
+    ``places`` doc and rid are 0, and line is the number of lines that the set has in the batch. ``ahead``: packed words of the
+    distinct sets by rarity as well, in order of the sets, those ahead of the last entry (True; wide parities follow) or all (False);
+    the entries have no sketches then.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,36 +264,102 @@ def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None) -> Da
         for b in _sliced(batches):
             doc, rid, line, sets, sizes, word = _unpacked(b)
             order = np.lexsort((line, rid, doc))
-            _, first = np.unique(sets[order], return_index=True)
+            _, first, times = np.unique(sets[order], return_index=True, return_counts=True)
             pick = np.sort(order[first])  # the first line of each set in the batch
+            if not places:
+                doc, rid, line = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int32)
+                line[order[first]] = times
             starts = np.cumsum(sizes) - sizes
             e = entries(doc[pick], rid[pick], line[pick], sets[pick], sizes[pick], word[ragged(starts[pick], sizes[pick])], table, t, None if buckets is None else np.unpackbits(np.frombuffer(buckets.value, np.uint8)).astype(bool))
+            if marked is not None:
+                e = e[_marked(_keys(e), marked.value)]
+            if ahead is not None:
+                e["sketch"] = e["sketch2"] = 0
             shard = (mix(e["word"].astype(np.uint64) << np.uint64(32) | e["cell"].astype(np.uint64)) >> np.uint64(16)) % np.uint64(shards)
             order = np.argsort(shard << np.uint64(32) | e["word"].astype(np.uint64))
             names, at = np.unique(shard[order], return_index=True)
             e, at = e[order], np.append(at, len(e))
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([_pack(e[at[i] : at[i + 1]]) for i in range(len(names))], pa.binary())], names=["shard", "entries"])
+            columns = [pa.array(names.astype(np.int64)), pa.array([_pack(e[at[i] : at[i + 1]]) for i in range(len(names))], pa.binary())]
+            if ahead is not None:
+                columns.append(pa.array([told(e[at[i] : at[i + 1]], sets, sizes, word, table, ahead) for i in range(len(names))], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "entries", "words"][: len(columns)])
 
-    return lines.mapInArrow(work, "shard bigint, entries binary")
+    return lines.mapInArrow(work, "shard bigint, entries binary" + ", words binary" * (ahead is not None))
 
 
-def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk: int = 500_000) -> tuple[np.ndarray, ...]:
-    """Earlier and later sets that may be similar, the first documents of both, how many parities differ, and whether the later one had more partners than ``near``.
+def _by_rarity(sizes: np.ndarray, word: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The words of each set in the order of ``entries``."""
+    level = levels[word >> np.uint32(32 - BUCKET_BITS)].astype(np.uint64)
+    return word[np.argsort(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(40) | level << np.uint64(32) | word.astype(np.uint64))]
 
-    ``e``: columns of _ENTRY, as a dictionary or a structured array.
-    """
-    group = e["word"].astype(np.uint64) << np.uint64(32) | e["cell"].astype(np.uint64)
+
+def wide(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 * WIDE parities of each set, as ``sketches`` has 64."""
+    if not len(sizes):
+        return np.zeros((0, WIDE), np.uint64)
+    h = mix(word.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    bit, cell = np.left_shift(np.uint64(1), h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(WIDE)
+    starts = np.cumsum(sizes) - sizes
+    return np.stack([np.bitwise_xor.reduceat(np.where(cell == k, bit, np.uint64(0)), starts) for k in range(WIDE)], axis=1)
+
+
+def _lengths(names: np.ndarray, e, ahead: bool) -> np.ndarray:
+    """How many words of each set go with the entries."""
+    out = np.zeros(len(names), np.int64)
+    np.maximum.at(out, np.searchsorted(names, e["set"]), e["at" if ahead else "n"].astype(np.int64))
+    return out
+
+
+def told(e, sets: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, ahead: bool) -> bytes:
+    """Of the sets of the entries the first words by rarity, and with ``ahead`` wide parities."""
+    names = np.unique(e["set"])
+    order = np.argsort(sets, kind="stable")
+    pick = order[np.searchsorted(sets, names, sorter=order)]
+    n = sizes[pick]
+    some = word[ragged((np.cumsum(sizes) - sizes)[pick], n)]
+    sent = _by_rarity(n, some, levels)[ragged(np.cumsum(n) - n, _lengths(names, e, ahead))].tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sent + (wide(some, n).tobytes() if ahead else b""))
+
+
+def heard(f: pd.DataFrame, ahead: bool) -> tuple[np.ndarray, ...]:
+    """The distinct sets of a shard, ascending, how many words each has here, the words, and wide parities."""
+    names, sizes, word, parity = [], [], [], []
+    for blob, w in zip(f["entries"], f["words"], strict=True):
+        e, data = _unpack([blob]), zstandard.ZstdDecompressor().decompress(w)
+        names.append(np.unique(e["set"]))
+        sizes.append(_lengths(names[-1], e, ahead))
+        word.append(np.frombuffer(data, np.uint32, sizes[-1].sum()))
+        parity.append(np.frombuffer(data, np.uint64, offset=4 * len(word[-1])).reshape(-1, WIDE))
+    names, sizes, word, parity = (np.concatenate(x) for x in (names, sizes, word, parity))
+    order = np.lexsort((-sizes, names))
+    order = order[np.append(True, names[order][1:] != names[order][:-1])[: len(order)]]  # of each set the longest
+    return names[order], sizes[order], word[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])], parity[order] if ahead else parity
+
+
+def _group(e) -> np.ndarray:
+    return e["word"].astype(np.uint64) << np.uint64(32) | e["cell"].astype(np.uint64)
+
+
+def _ordered(e) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The entries by group and place, of each set the first line over all batches, and their groups."""
+    group = _group(e)
     order = np.lexsort((e["line"], e["rid"], e["doc"], group))
     _, first = np.unique((mix(group) ^ np.ascontiguousarray(e["set"]).view(np.uint64))[order], return_index=True)
-    order = order[np.sort(first)]  # the first line of a set over all batches
-    e, group = {c: e[c][order] for c in _ENTRY.names}, group[order]
-    n_all = len(order)
+    order = order[np.sort(first)]
+    return {c: e[c][order] for c in _ENTRY.names}, group[order]
+
+
+def _close(e: dict[str, np.ndarray], group: np.ndarray, t: float, asked: np.ndarray | None = None, chunk: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of entries ordered by group the places x < y in a group whose sizes, positions and parities allow the similarity, and how many parities differ.
+
+    ``asked``: the sets whose pairs with earlier ones are wanted, if not all.
+    """
+    n_all = len(group)
     new = np.append(True, group[1:] != group[:-1])[:n_all]
     start = np.maximum.accumulate(np.where(new, np.arange(n_all), 0)) if n_all else np.zeros(0, np.int64)
     before = np.arange(n_all) - start
     if asked is not None:
         before = np.where(np.isin(e["set"], asked), before, 0)
-    xs, ys, links, owns, fars, more = [], [], [], [], [], []
     ends = np.cumsum(before)
     at = 0
     while at < n_all:
@@ -294,7 +376,18 @@ def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk
         far = np.bitwise_count(e["sketch"][x] ^ e["sketch"][y]).astype(np.int64)
         other = np.where(np.minimum(n, m) > LONG, np.bitwise_count(e["sketch2"][x] ^ e["sketch2"][y]), 0)
         ok = np.maximum(far, other) <= n + m - 2 * need
-        x, y, far = x[ok], y[ok], far[ok].astype(np.int32)
+        yield x[ok], y[ok], far[ok].astype(np.int32)
+        at = to
+
+
+def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk: int = 500_000) -> tuple[np.ndarray, ...]:
+    """Earlier and later sets that may be similar, the first documents of both, how many parities differ, and whether the later one had more partners than ``near``.
+
+    ``e``: columns of _ENTRY, as a dictionary or a structured array.
+    """
+    e, group = _ordered(e)
+    xs, ys, links, owns, fars, more = [], [], [], [], [], []
+    for x, y, far in _close(e, group, t, asked, chunk):
         if near is not None and len(x):
             order = np.lexsort((x, far, y))
             x, y, far = x[order], y[order], far[order]
@@ -310,7 +403,6 @@ def paired(e, t: float, near: int | None, asked: np.ndarray | None = None, chunk
         owns.append(e["doc"][y])
         fars.append(far)
         more.append(over)
-        at = to
     if not xs:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.int32), np.zeros(0, bool)
@@ -405,15 +497,20 @@ def verified(lines: DataFrame, pairs: DataFrame, t: float, most: int = KNOWN_MOS
 
 
 def _prepared(lines: DataFrame) -> tuple:
-    """Broadcast rarity of the word buckets, and the number of shards."""
+    """Broadcast rarity of the word buckets, and the number of words."""
     total = lines.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    return lines.sparkSession.sparkContext.broadcast(rarity(lines).tobytes()), max(1, math.ceil(total / 4 / 3_000_000))
+    return lines.sparkSession.sparkContext.broadcast(rarity(lines).tobytes()), total // 4
+
+
+def _shards(words: int, most: int = 3_000_000) -> int:
+    return max(1, math.ceil(words / most))
 
 
 def first_matches(lines: DataFrame, t: float, near: int) -> DataFrame:
     """x, y, link: for each set y that is similar to an earlier one at least one such pair."""
     spark = lines.sparkSession
-    levels, shards = _prepared(lines)
+    levels, words = _prepared(lines)
+    shards = _shards(words)
     index = indexed(lines, levels, shards, t)
     rank = F.row_number().over(Window.partitionBy("y").orderBy("far", "x"))
     pairs = stored(candidates(index, t, near).withColumn("rank", rank), "candidates")
@@ -432,16 +529,189 @@ def first_matches(lines: DataFrame, t: float, near: int) -> DataFrame:
     return good
 
 
-def all_matches(lines: DataFrame, t: float) -> DataFrame:
-    """x, y, link: every pair of similar sets, x the earlier."""
-    levels, shards = _prepared(lines)
-    pairs = stored(candidates(indexed(lines, levels, shards, t), t, None), "candidates")
-    return stored(verified(lines, pairs, t), "similar")
+def _keys(e) -> np.ndarray:
+    """A number for the set and word of each entry."""
+    return (np.ascontiguousarray(e["set"]).view(np.uint64) ^ mix(e["word"].astype(np.uint64))).view(np.int64)
+
+
+def _marks(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marked(keys: np.ndarray, table: bytes) -> np.ndarray:
+    at = _marks(keys, (len(table) * 8).bit_length() - 1)
+    return (np.frombuffer(table, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def marks(index: DataFrame, find: Callable[[pd.DataFrame], tuple[np.ndarray, ...]], tables: int, bits: int) -> list[bytes]:
+    """Tables of 2^bits bits that mark the keys that ``find`` gives for each shard; shards send distinct marks in SLICES slices."""
+    width = (1 << bits) // SLICES
+
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for kind, keys in enumerate(find(f)):
+            at = np.unique(_marks(keys, bits))
+            edges = np.searchsorted(at, np.arange(SLICES + 1) * width)
+            rows += [(kind, k, zstandard.ZstdCompressor(level=1).compress(at[edges[k] : edges[k + 1]].astype("<u4").tobytes())) for k in range(SLICES) if edges[k + 1] > edges[k]]
+        return pd.DataFrame(rows, columns=["kind", "slice", "marks"])
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(width, bool)
+        for x in f["marks"]:
+            flags[np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4") % width] = True
+        return pd.DataFrame({"kind": f["kind"].iloc[:1], "slice": f["slice"].iloc[:1], "marks": [zstandard.ZstdCompressor(level=1).compress(np.packbits(flags, bitorder="little").tobytes())]})
+
+    shape = "kind int, slice int, marks binary"
+    out = np.zeros((tables, SLICES, width // 8), np.uint8)
+    for r in index.groupBy("shard").applyInPandas(work, shape).groupBy("kind", "slice").applyInPandas(add, shape).collect():
+        out[r["kind"], r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["marks"]), np.uint8)
+    return [x.tobytes() for x in out]
+
+
+def partnered(e, t: float) -> tuple[np.ndarray, ...]:
+    """Sets that may have a similar one, those or sets that more lines have, and keys of entries that have a partner; line is a number of lines."""
+    group = _group(e)
+    order = np.lexsort((e["set"], group))
+    sets, group = e["set"][order], group[order]
+    same = (sets[1:] == sets[:-1]) & (group[1:] == group[:-1])
+    again = np.concatenate([sets[1:][same], e["set"][e["line"] > 1]])
+    order = order[np.append(True, ~same)[: len(order)]]
+    e = {c: e[c][order] for c in _COLUMNS}
+    hit = np.zeros(len(order), bool)
+    for x, y, _ in _close(e, _group(e), t):
+        hit[x] = hit[y] = True
+    return e["set"][hit], np.concatenate([e["set"][hit], again]), _keys(e)[hit]
+
+
+def only_marked(lines: DataFrame, table) -> DataFrame:
+    """The columns that ``indexed`` reads, with the lines of marked sets alone, of each set the first in a batch; documents without one are left out."""
+    names = ["doc_id", "rid", "line_no", "sets", "sizes", "words"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            doc, rid, line, sets, sizes, word = _unpacked(b)
+            ids = b.column(b.schema.get_field_index("rid")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), np.fromiter((len(x) // 4 for x in b.column(b.schema.get_field_index("line_no")).to_pylist()), np.int64, b.num_rows))
+            order = np.lexsort((line, rid, doc))
+            pick = np.sort(order[np.unique(sets[order], return_index=True)[1]])
+            pick = pick[_marked(sets[pick], table.value)]
+            docs, first = np.unique(row[pick], return_index=True)
+            edges = np.append(first, len(pick))
+            starts = np.cumsum(sizes) - sizes
+            word, ends = word[ragged(starts[pick], sizes[pick])], np.append(0, np.cumsum(sizes[pick]))[edges]
+
+            def blobs(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
+                return pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)], pa.binary())
+
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).take(pa.array(docs)), pa.array(ids[docs]), blobs(line[pick], edges), blobs(sets[pick], edges), blobs(sizes[pick].astype(np.int32), edges), blobs(word, ends)], names=names)
+
+    return lines.select(*names).mapInArrow(work, "doc_id bigint, rid bigint, line_no binary, sets binary, sizes binary, words binary")
+
+
+def _common(word: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many words the n from each ``at`` share with the m from each ``other``, about VERIFIED words at once."""
+    out, ends, i = np.zeros(len(at), np.int64), np.cumsum(n + m), 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + VERIFIED, side="right")))
+        pair = np.arange(j - i, dtype=np.uint64) << np.uint64(32)
+        key = np.concatenate([np.repeat(pair, n[i:j]), np.repeat(pair, m[i:j])])
+        key |= np.concatenate([word[ragged(at[i:j], n[i:j])], word[ragged(other[i:j], m[i:j])]]).astype(np.uint64)
+        key.sort()
+        out[i:j] = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=j - i)
+        i = j
+    return out
+
+
+def _united(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, after x and y are linked."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _owned(e: dict[str, np.ndarray], group: np.ndarray, names: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float, parity: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the places x < y of ``_close`` those that share no rarer word; two of one block meet in other cells as well and count in one."""
+    starts, row = np.cumsum(sizes) - sizes, np.searchsorted(names, e["set"])
+    block, blocks = _dealt(e["set"], levels[e["word"] >> np.uint32(32 - BUCKET_BITS)])
+    for x, y, _ in _close(e, group, t):
+        ok = np.minimum(block[x], block[y]) * blocks[x] + np.maximum(block[x], block[y]) == e["cell"][x]
+        x, y = x[ok], y[ok]
+        if parity is not None:
+            n, m = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
+            ok = np.bitwise_count(parity[row[x]] ^ parity[row[y]]).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, t)
+            x, y = x[ok], y[ok]
+        ok = _common(word, starts[row[x]], e["at"][x].astype(np.int64), starts[row[y]], e["at"][y].astype(np.int64)) == 0
+        yield x[ok], y[ok], row[x[ok]], row[y[ok]]
+
+
+def linked(e, names: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float) -> dict[str, np.ndarray]:
+    """set, root, links and later of the sets in similar pairs whose rarest common word is in these entries.
+
+    ``names``: all distinct sets of the entries, ascending, with their sizes and words by rarity. root is the least set of the component by these pairs.
+    """
+    e, group = _ordered(e)
+    starts = np.cumsum(sizes) - sizes
+    links, later, root = np.zeros(len(names), np.int64), np.zeros(len(names), bool), np.arange(len(names))
+    for _, _, x, y in _owned(e, group, names, sizes, word, levels, t):
+        overlap = _common(word, starts[x], sizes[x], starts[y], sizes[y])
+        ok = overlap >= t * (sizes[x] + sizes[y] - overlap) - 1e-9
+        x, y = x[ok], y[ok]
+        links += np.bincount(x, minlength=len(names)) + np.bincount(y, minlength=len(names))
+        later[y] = True
+        root = _united(root, x, y)
+    some = np.flatnonzero(links)
+    return {"set": names[some], "root": names[root[some]], "links": links[some], "later": later[some]}
+
+
+def all_links(lines: DataFrame, t: float) -> tuple[DataFrame, object]:
+    """set, root, links and later of ``linked``, over all shards, and a broadcast table that marks the linked and the repeated sets."""
+    sc = lines.sparkSession.sparkContext
+    levels, words = _prepared(lines)
+    bits = max(16, min(MARK_BITS, words.bit_length() - 1))
+    first = indexed(lines, levels, _shards(words), t, places=False)
+    near, wanted, hit = (sc.broadcast(x) for x in marks(first, lambda f: partnered(_unpack(f["entries"].tolist()), t), 3, bits))
+    some = stored(only_marked(lines, near), "marked", compression="zstd")
+    shards = _shards(some.agg(F.sum(F.octet_length("words"))).first()[0] or 0, 4_000_000)
+
+    def rarest(f: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        e, (names, sizes, word, parity) = _unpack(f["entries"].tolist()), heard(f, True)
+        e["sketch"] = np.bitwise_xor.reduce(parity, axis=1)[np.searchsorted(names, e["set"])]
+        e, group = _ordered(e)
+        own = np.zeros(len(group), bool)
+        for x, y, _, _ in _owned(e, group, names, sizes, word, np.frombuffer(levels.value, np.uint8), t, parity):
+            own[x] = own[y] = True
+        return (_keys(e)[own],)
+
+    own = sc.broadcast(marks(indexed(some, levels, shards, t, marked=hit, ahead=True), rarest, 1, bits)[0])
+
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        e, (names, sizes, word, _) = _unpack(f["entries"].tolist()), heard(f, False)
+        e["sketch"], e["sketch2"] = (x[np.searchsorted(names, e["set"])] for x in sketches(word, sizes))
+        return pd.DataFrame(linked(e, names, sizes, word, np.frombuffer(levels.value, np.uint8), t))
 
+    last = indexed(some, levels, shards, t, marked=own, ahead=False)
+    return stored(last.groupBy("shard").applyInPandas(work, "set bigint, root bigint, links bigint, later boolean"), "links"), wanted
 
-def _by_set(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines with words by set, and for each set its first place and number of lines."""
-    spots = lines.mapInArrow(_spots, "set bigint, doc bigint, rid bigint, line int")
+
+def _by_set(lines: DataFrame, table=None) -> tuple[DataFrame, DataFrame]:
+    """All lines with words, or those of marked sets, by set, and for each set its first place and number of lines."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            line, sets = (_joined(b.column(k), x) for k, x in ((2, np.int32), (3, np.int64)))
+            n = np.fromiter((len(x) // 4 for x in b.column(2).to_pylist()), np.int64, b.num_rows)
+            doc, rid = b.column(0).fill_null(_FIRST).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            ok = _marked(sets, table.value)
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (sets, np.repeat(doc, n), np.repeat(rid, n), line)], names=["set", "doc", "rid", "line"])
+
+    shape = "set bigint, doc bigint, rid bigint, line int"
+    spots = lines.mapInArrow(_spots, shape) if table is None else stored(lines.select("doc_id", "rid", "line_no", "sets").mapInArrow(marked, shape), "spots")
     return spots, spots.groupBy("set").agg(F.min(F.struct("doc", "rid", "line")).alias("first"), F.count("*").alias("n"))
 
 
@@ -464,13 +734,16 @@ def line_join(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     lines = stored(line_sets(docs), "lines", compression="zstd")
-    good = all_matches(lines, similarity)
-    ends = good.select(F.col("x").alias("set"), F.lit(False).alias("later")).union(good.select(F.col("y").alias("set"), F.lit(True).alias("later")))
-    linked = ends.groupBy("set").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    spots, by_set = _by_set(lines)
-    known = by_set.join(linked, "set", "left").join(components(good, "x", "y").withColumnRenamed("node", "set"), "set", "left").where((F.col("n") > 1) | F.col("links").isNotNull())
+    links, wanted = all_links(lines, similarity)
+    each = stored(links.groupBy("set").agg(F.sum("links").alias("links"), F.max("later").alias("later"), F.array_sort(F.collect_set("root")).alias("roots")), "linked")
+    joints = each.where(F.size("roots") > 1).select("set", F.explode("roots").alias("root"))  # a set with one root goes where that goes
+    roots = components(joints, "set", "root").withColumnRenamed("root", "least")
+    each = each.select("set", "links", "later", F.col("roots")[0].alias("node")).join(roots, "node", "left").select("set", "links", "later", F.coalesce("least", "node").alias("root"))
+    spots, by_set = _by_set(lines, wanted)
+    known = by_set.join(each, "set", "left").where((F.col("n") > 1) | F.col("links").isNotNull())
     known = stored(known.select("set", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("root", "set").alias("root")), "sets")
-    known = known.join(known.groupBy("root").agg(F.min("first").alias("lead")), "root").select("set", "first", "links", "later", F.col("lead.doc").alias("class"))
+    lead = stored(known.groupBy("root").agg(F.min("first").alias("lead")), "leads")  # a table of its own, so that the join may split a large class
+    known = known.join(lead, "root").select("set", "first", "links", "later", F.col("lead.doc").alias("class"))
     met = spots.join(known, "set").select("rid", F.struct("line", "class", "links", (F.col("later") | (F.struct("doc", "rid", "line") != F.col("first"))).alias("gone")).alias("g"))
     per_doc = met.groupBy("rid").agg(F.sort_array(F.collect_list("g")).alias("g"))
     none = F.col("g").isNull()

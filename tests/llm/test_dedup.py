@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from strata.llm import components as C
 from strata.llm import dartminhash as D
 from strata.llm import linededup as L
+from strata.llm import shared
 from strata.llm.components import components
 
 
@@ -202,6 +204,49 @@ def test_line_join_equals_brute_force(spark, monkeypatch, no_docs, edge_docs, ho
     assert len(edge) == edge_docs.count() and all(r["n_links"] is not None for r in edge)
 
 
+def test_pairs_of_near_copies_are_not_written_out(spark, monkeypatch):
+    wrote = []
+
+    def stored(df, name, **options):
+        out = shared.stored(df, name, **options)
+        wrote.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(L, "stored", stored)
+    monkeypatch.setattr(C, "stored", stored)
+    n = 150
+    near = [" ".join(f"k{j}" if j != i % 40 else f"own{i}" for j in range(40)) for i in range(n)]  # any two are similar
+    chain = [" ".join(f"c{j}" for j in range(i, i + 20)) for i in range(60)]  # similar to two before and two after only
+    rows = [(i, text) for i, text in enumerate(near + chain + near[:5])]
+    got = {r["doc_id"]: r for r in L.line_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    mine = [(r["doc_id"], r["n_lines"], r["n_links"], list(r["removed"]), [tuple(c) for c in r["classes"]]) for _, r in sorted(got.items())]
+    assert mine == brute_join(rows)
+    assert {got[i]["n_links"] for i in range(n)} == {n - 1} and {got[n + i]["classes"][0]["class"] for i in range(60)} == {n}
+    assert max(count for _, count in wrote) < 4 * len(rows), wrote
+
+
+def test_a_pair_counts_where_its_rarest_common_word_is():
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = {frozenset(mutated(rng, base[: rng.randrange(110, 151)], rng.randrange(0, 9))) for _ in range(60)} | {frozenset(base[i : i + 15]) for i in range(40)}
+    word = {w: i * 2654435761 % 2**32 for i, w in enumerate(sorted(set().union(*texts)))}
+    sets = sorted(texts, key=lambda s: sorted(s))
+    words = [np.sort(np.array([word[w] for w in s], np.uint32)) for s in sets]
+    sizes, flat, ids = np.array([len(w) for w in words]), np.concatenate(words), np.arange(len(sets))
+    levels = L.scaled(np.bincount(flat >> np.uint32(32 - L.BUCKET_BITS), minlength=1 << L.BUCKET_BITS))
+    e = L.entries(ids, ids, np.zeros(len(sets), np.int32), ids, sizes, flat, levels, 0.8)
+    links, later = np.zeros(len(sets), int), np.zeros(len(sets), bool)
+    for shard in range(5):
+        mine = e[e["word"] % 5 == shard]
+        names, n, w, parity = L.heard({"entries": [L._pack(mine)], "words": [L.told(mine, ids, sizes, flat, levels, False)]}, False)
+        got = L.linked(mine, names, n, w, levels, 0.8)
+        links[got["set"]] += got["links"]
+        later[got["set"]] |= got["later"]
+    near = [[i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert links.tolist() == [sum(x) for x in near] and links.sum() > 100
+    assert later.tolist() == [any(x[:i]) for i, x in enumerate(near)]
+
+
 def test_hot_words_are_dealt_over_cells(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT", 4)
     rows = line_rows()
