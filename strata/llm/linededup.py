@@ -294,13 +294,13 @@ def _by_rarity(sizes: np.ndarray, word: np.ndarray, levels: np.ndarray) -> np.nd
 
 
 def wide(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64 * WIDE parities of each set, as ``sketches`` has 64."""
+    """64 * WIDE parities of each set, as ``sketches`` has 64. The first column has all columns in one; it tells the first one by the others."""
     if not len(sizes):
         return np.zeros((0, WIDE), np.uint64)
     h = mix(word.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
     bit, cell = np.left_shift(np.uint64(1), h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(WIDE)
     starts = np.cumsum(sizes) - sizes
-    return np.stack([np.bitwise_xor.reduceat(np.where(cell == k, bit, np.uint64(0)), starts) for k in range(WIDE)], axis=1)
+    return np.stack([np.bitwise_xor.reduceat(bit if k == 0 else np.where(cell == k, bit, np.uint64(0)), starts) for k in range(WIDE)], axis=1)
 
 
 def _lengths(names: np.ndarray, e, ahead: bool) -> np.ndarray:
@@ -311,14 +311,17 @@ def _lengths(names: np.ndarray, e, ahead: bool) -> np.ndarray:
 
 
 def told(e, sets: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, ahead: bool) -> bytes:
-    """Of the sets of the entries the first words by rarity, and with ``ahead`` wide parities."""
+    """Of the sets of the entries the first words by rarity, and with ``ahead`` wide parities, one column of those of up to LONG words."""
     names = np.unique(e["set"])
     order = np.argsort(sets, kind="stable")
     pick = order[np.searchsorted(sets, names, sorter=order)]
     n = sizes[pick]
     some = word[ragged((np.cumsum(sizes) - sizes)[pick], n)]
     sent = _by_rarity(n, some, levels)[ragged(np.cumsum(n) - n, _lengths(names, e, ahead))].tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sent + (wide(some, n).tobytes() if ahead else b""))
+    if ahead:
+        parity = wide(some, n)
+        sent += parity[:, 0].tobytes() + parity[n > LONG, 1:].tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sent)
 
 
 def heard(f: pd.DataFrame, ahead: bool) -> tuple[np.ndarray, ...]:
@@ -329,8 +332,13 @@ def heard(f: pd.DataFrame, ahead: bool) -> tuple[np.ndarray, ...]:
         names.append(np.unique(e["set"]))
         sizes.append(_lengths(names[-1], e, ahead))
         word.append(np.frombuffer(data, np.uint32, sizes[-1].sum()))
-        parity.append(np.frombuffer(data, np.uint64, offset=4 * len(word[-1])).reshape(-1, WIDE))
-    names, sizes, word, parity = (np.concatenate(x) for x in (names, sizes, word, parity))
+        if ahead:
+            own, long = np.frombuffer(data, np.uint64, offset=4 * len(word[-1])), _lengths(names[-1], e, False) > LONG
+            parity.append(np.zeros((len(long), WIDE), np.uint64))
+            parity[-1][:, 0] = own[: len(long)]
+            parity[-1][long, 1:] = own[len(long) :].reshape(-1, WIDE - 1)
+            parity[-1][long, 0] ^= np.bitwise_xor.reduce(parity[-1][long, 1:], axis=1)
+    names, sizes, word, parity = (np.concatenate(x) if x else None for x in (names, sizes, word, parity))
     order = np.lexsort((-sizes, names))
     order = order[np.append(True, names[order][1:] != names[order][:-1])[: len(order)]]  # of each set the longest
     return names[order], sizes[order], word[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])], parity[order] if ahead else parity
@@ -552,13 +560,13 @@ def marks(index: DataFrame, find: Callable[[pd.DataFrame], tuple[np.ndarray, ...
         for kind, keys in enumerate(find(f)):
             at = np.unique(_marks(keys, bits))
             edges = np.searchsorted(at, np.arange(SLICES + 1) * width)
-            rows += [(kind, k, zstandard.ZstdCompressor(level=1).compress(at[edges[k] : edges[k + 1]].astype("<u4").tobytes())) for k in range(SLICES) if edges[k + 1] > edges[k]]
+            rows += [(kind, k, zstandard.ZstdCompressor(level=1).compress(np.diff(at[edges[k] : edges[k + 1]], prepend=k * width).astype("<u4").tobytes())) for k in range(SLICES) if edges[k + 1] > edges[k]]
         return pd.DataFrame(rows, columns=["kind", "slice", "marks"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(width, bool)
         for x in f["marks"]:
-            flags[np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4") % width] = True
+            flags[np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4"), dtype=np.int64)] = True
         return pd.DataFrame({"kind": f["kind"].iloc[:1], "slice": f["slice"].iloc[:1], "marks": [zstandard.ZstdCompressor(level=1).compress(np.packbits(flags, bitorder="little").tobytes())]})
 
     shape = "kind int, slice int, marks binary"
@@ -569,7 +577,7 @@ def marks(index: DataFrame, find: Callable[[pd.DataFrame], tuple[np.ndarray, ...
 
 
 def partnered(e, t: float) -> tuple[np.ndarray, ...]:
-    """Sets that may have a similar one, those or sets that more lines have, and keys of entries that have a partner; line is a number of lines."""
+    """Sets that may have a similar one, sets that more lines have, and keys of entries that have a partner; line is a number of lines."""
     group = _group(e)
     order = np.lexsort((e["set"], group))
     sets, group = e["set"][order], group[order]
@@ -580,7 +588,7 @@ def partnered(e, t: float) -> tuple[np.ndarray, ...]:
     hit = np.zeros(len(order), bool)
     for x, y, _ in _close(e, _group(e), t):
         hit[x] = hit[y] = True
-    return e["set"][hit], np.concatenate([e["set"][hit], again]), _keys(e)[hit]
+    return e["set"][hit], again, _keys(e)[hit]
 
 
 def only_marked(lines: DataFrame, table) -> DataFrame:
@@ -644,7 +652,7 @@ def _owned(e: dict[str, np.ndarray], group: np.ndarray, names: np.ndarray, sizes
         x, y = x[ok], y[ok]
         if parity is not None:
             n, m = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
-            ok = np.bitwise_count(parity[row[x]] ^ parity[row[y]]).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, t)
+            ok = (np.minimum(n, m) <= LONG) | (np.bitwise_count(parity[row[x]] ^ parity[row[y]]).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, t))
             x, y = x[ok], y[ok]
         ok = _common(word, starts[row[x]], e["at"][x].astype(np.int64), starts[row[y]], e["at"][y].astype(np.int64)) == 0
         yield x[ok], y[ok], row[x[ok]], row[y[ok]]
@@ -675,7 +683,9 @@ def all_links(lines: DataFrame, t: float) -> tuple[DataFrame, object]:
     levels, words = _prepared(lines)
     bits = max(16, min(MARK_BITS, words.bit_length() - 1))
     first = indexed(lines, levels, _shards(words), t, places=False)
-    near, wanted, hit = (sc.broadcast(x) for x in marks(first, lambda f: partnered(_unpack(f["entries"].tolist()), t), 3, bits))
+    near, again, hit = marks(first, lambda f: partnered(_unpack(f["entries"].tolist()), t), 3, bits)
+    wanted = sc.broadcast((np.frombuffer(near, np.uint8) | np.frombuffer(again, np.uint8)).tobytes())
+    near, hit = sc.broadcast(near), sc.broadcast(hit)
     some = stored(only_marked(lines, near), "marked", compression="zstd")
     shards = _shards(some.agg(F.sum(F.octet_length("words"))).first()[0] or 0, 4_000_000)
 
@@ -688,7 +698,7 @@ def all_links(lines: DataFrame, t: float) -> tuple[DataFrame, object]:
             own[x] = own[y] = True
         return (_keys(e)[own],)
 
-    own = sc.broadcast(marks(indexed(some, levels, shards, t, marked=hit, ahead=True), rarest, 1, bits)[0])
+    own = sc.broadcast(marks(indexed(some, levels, shards, t, places=False, marked=hit, ahead=True), rarest, 1, bits)[0])
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         e, (names, sizes, word, _) = _unpack(f["entries"].tolist()), heard(f, False)
