@@ -18,8 +18,8 @@ removed. Lines without a word are kept and compared with nothing.
 5. ``line_join`` gives the whole join: each set of words gets its number of links (similar sets other than itself; equal lines
    are folded) and its class, the connected component of its links, named by the doc_id of its first line. No pair leaves a
    shard. Each round marks in tables of bits what the next one sends; a false mark costs a little work. The first round marks
-   the sets and entries that have a partner. The second sends those entries with the words before them and wider parities, and
-   marks the entries that still have a partner and share no rarer word with it. The third sends those with all words of
+   the sets and entries that have a partner. The second sends those entries with wider parities and a few of the words before
+   them, and marks the entries that still have a partner and share none of these with it. The third sends those with all words of
    their sets: a shard verifies every pair whose rarest common word it has, so each pair counts once, and returns a row for
    each set: its links, whether one is earlier, and the least set of its component there. Components of these rows are the classes.
 
@@ -55,6 +55,7 @@ LONG = 64
 KNOWN_MOST = 1_000_000
 MARK_BITS = 28
 WIDE = 4
+AHEAD = 3
 VERIFIED = 4_000_000
 
 LINES = "doc_id bigint, rid bigint, text_hash bigint, n_lines int, line_no binary, sets binary, sizes binary, words binary"
@@ -254,9 +255,8 @@ def indexed(lines: DataFrame, levels, shards: int, t: float, buckets=None, *, pl
     """shard and packed entries: a row for each shard that a batch of documents has entries for.
 
     ``buckets``: packed flags of the word buckets to send, if not all; ``marked``: a table of marks of the entries to send. Without
-    ``places`` doc and rid are 0, and line is the number of lines that the set has in the batch. ``ahead``: packed words of the
-    distinct sets by rarity as well, in order of the sets, those ahead of the last entry (True; wide parities follow) or all (False);
-    the entries have no sketches then.
+    ``places`` doc and rid are 0, and line is the number of lines that the set has in the batch. ``ahead``: instead of
+    sketches AHEAD words before each entry and wide parities of the distinct sets (True), or all words of these (False), packed.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,45 +303,63 @@ def wide(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(bit if k == 0 else np.where(cell == k, bit, np.uint64(0)), starts) for k in range(WIDE)], axis=1)
 
 
-def _lengths(names: np.ndarray, e, ahead: bool) -> np.ndarray:
-    """How many words of each set go with the entries."""
-    out = np.zeros(len(names), np.int64)
-    np.maximum.at(out, np.searchsorted(names, e["set"]), e["at" if ahead else "n"].astype(np.int64))
-    return out
-
-
 def told(e, sets: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, ahead: bool) -> bytes:
-    """Of the sets of the entries the first words by rarity, and with ``ahead`` wide parities, one column of those of up to LONG words."""
-    names = np.unique(e["set"])
+    """Words by rarity of the distinct sets of the entries, in order of the sets; with ``ahead`` the parities of these, one column
+    of those of up to LONG words, and of each entry AHEAD of the words before it, the least by a hash, or its own for want of more."""
+    names, place = np.unique(e["set"], return_inverse=True)
     order = np.argsort(sets, kind="stable")
     pick = order[np.searchsorted(sets, names, sorter=order)]
     n = sizes[pick]
-    some = word[ragged((np.cumsum(sizes) - sizes)[pick], n)]
-    sent = _by_rarity(n, some, levels)[ragged(np.cumsum(n) - n, _lengths(names, e, ahead))].tobytes()
-    if ahead:
-        parity = wide(some, n)
-        sent += parity[:, 0].tobytes() + parity[n > LONG, 1:].tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sent)
+    some = _by_rarity(n, word[ragged((np.cumsum(sizes) - sizes)[pick], n)], levels)
+    if not ahead:
+        return zstandard.ZstdCompressor(level=3).compress(some.tobytes())
+    parity = wide(some, n)
+    at = e["at"].astype(np.int64)
+    before, owner = some[ragged((np.cumsum(n) - n)[place], at)], np.repeat(np.arange(len(e)), at)
+    shared = levels[before >> np.uint32(32 - BUCKET_BITS)] > 1
+    before, owner = before[shared], owner[shared]
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(32) | mix(before.astype(np.uint64)) >> np.uint64(32))
+    before, owner = before[order], owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    few = np.repeat(e["word"][:, None], AHEAD, axis=1)
+    few[owner[rank < AHEAD], rank[rank < AHEAD]] = before[rank < AHEAD]
+    return zstandard.ZstdCompressor(level=3).compress(parity[:, 0].tobytes() + parity[n > LONG, 1:].tobytes() + few.T.tobytes())
+
+
+def heard(f: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a shard with their sketches, its distinct sets, ascending, and their sizes and words by rarity."""
+    names, sizes, word = [], [], []
+    for blob, w in zip(f["entries"], f["words"], strict=True):
+        e = _unpack([blob])
+        own, first = np.unique(e["set"], return_index=True)
+        names.append(own)
+        sizes.append(e["n"][first].astype(np.int64))
+        word.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(w), np.uint32))
+    names, sizes, word = (np.concatenate(x) for x in (names, sizes, word))
+    starts = np.cumsum(sizes) - sizes
+    names, first = np.unique(names, return_index=True)
+    sizes, word = sizes[first], word[ragged(starts[first], sizes[first])]
+    e = _unpack(list(f["entries"]))
+    e["sketch"], e["sketch2"] = (x[np.searchsorted(names, e["set"])] for x in sketches(word, sizes))
+    return e, names, sizes, word
 
 
-def heard(f: pd.DataFrame, ahead: bool) -> tuple[np.ndarray, ...]:
-    """The distinct sets of a shard, ascending, how many words each has here, the words, and wide parities."""
-    names, sizes, word, parity = [], [], [], []
+def heard_ahead(f: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The entries of a shard with their sketches, wide parities and the words told of those before them."""
+    wides, words = [], []
     for blob, w in zip(f["entries"], f["words"], strict=True):
         e, data = _unpack([blob]), zstandard.ZstdDecompressor().decompress(w)
-        names.append(np.unique(e["set"]))
-        sizes.append(_lengths(names[-1], e, ahead))
-        word.append(np.frombuffer(data, np.uint32, sizes[-1].sum()))
-        if ahead:
-            own, long = np.frombuffer(data, np.uint64, offset=4 * len(word[-1])), _lengths(names[-1], e, False) > LONG
-            parity.append(np.zeros((len(long), WIDE), np.uint64))
-            parity[-1][:, 0] = own[: len(long)]
-            parity[-1][long, 1:] = own[len(long) :].reshape(-1, WIDE - 1)
-            parity[-1][long, 0] ^= np.bitwise_xor.reduce(parity[-1][long, 1:], axis=1)
-    names, sizes, word, parity = (np.concatenate(x) if x else None for x in (names, sizes, word, parity))
-    order = np.lexsort((-sizes, names))
-    order = order[np.append(True, names[order][1:] != names[order][:-1])[: len(order)]]  # of each set the longest
-    return names[order], sizes[order], word[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])], parity[order] if ahead else parity
+        names, first, place = np.unique(e["set"], return_index=True, return_inverse=True)
+        long, end = e["n"][first] > LONG, len(data) - 4 * AHEAD * len(place)
+        own = np.frombuffer(data[:end], np.uint64)
+        parity = np.zeros((len(names), WIDE), np.uint64)
+        parity[:, 0] = own[: len(names)]
+        parity[long, 1:] = own[len(names) :].reshape(-1, WIDE - 1)
+        parity[long, 0] ^= np.bitwise_xor.reduce(parity[long, 1:], axis=1)
+        wides.append(parity[place])
+        words.append(np.frombuffer(data[end:], np.uint32).reshape(AHEAD, -1).T)
+    e = _unpack(list(f["entries"])) | {"wide": np.concatenate(wides), "ahead": np.concatenate(words)}
+    return e | {"sketch": np.bitwise_xor.reduce(e["wide"], axis=1)}
 
 
 def _group(e) -> np.ndarray:
@@ -354,7 +372,7 @@ def _ordered(e) -> tuple[dict[str, np.ndarray], np.ndarray]:
     order = np.lexsort((e["line"], e["rid"], e["doc"], group))
     _, first = np.unique((mix(group) ^ np.ascontiguousarray(e["set"]).view(np.uint64))[order], return_index=True)
     order = order[np.sort(first)]
-    return {c: e[c][order] for c in _ENTRY.names}, group[order]
+    return {c: e[c][order] for c in (e.dtype.names if isinstance(e, np.ndarray) else e)}, group[order]
 
 
 def _close(e: dict[str, np.ndarray], group: np.ndarray, t: float, asked: np.ndarray | None = None, chunk: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
@@ -643,19 +661,30 @@ def _united(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _owned(e: dict[str, np.ndarray], group: np.ndarray, names: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float, parity: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of the places x < y of ``_close`` those that share no rarer word; two of one block meet in other cells as well and count in one."""
-    starts, row = np.cumsum(sizes) - sizes, np.searchsorted(names, e["set"])
+def _met_once(e: dict[str, np.ndarray], group: np.ndarray, levels: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The places x < y of ``_close``; two sets of one block meet in other cells as well and count in one."""
     block, blocks = _dealt(e["set"], levels[e["word"] >> np.uint32(32 - BUCKET_BITS)])
     for x, y, _ in _close(e, group, t):
         ok = np.minimum(block[x], block[y]) * blocks[x] + np.maximum(block[x], block[y]) == e["cell"][x]
+        yield x[ok], y[ok]
+
+
+def rarest(e, levels: np.ndarray, t: float) -> np.ndarray:
+    """Keys of the entries that have a partner by the wide parities and share none of the words ahead with it."""
+    e, group = _ordered(e)
+    own = np.zeros(len(group), bool)
+    for x, y in _met_once(e, group, levels, t):
+        n, m = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
+        ok = (np.minimum(n, m) <= LONG) | (np.bitwise_count(e["wide"][x] ^ e["wide"][y]).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, t))
         x, y = x[ok], y[ok]
-        if parity is not None:
-            n, m = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
-            ok = (np.minimum(n, m) <= LONG) | (np.bitwise_count(parity[row[x]] ^ parity[row[y]]).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, t))
-            x, y = x[ok], y[ok]
-        ok = _common(word, starts[row[x]], e["at"][x].astype(np.int64), starts[row[y]], e["at"][y].astype(np.int64)) == 0
-        yield x[ok], y[ok], row[x[ok]], row[y[ok]]
+        ahead, others = e["ahead"][x], e["ahead"][y]
+        shared = np.zeros(len(x), bool)
+        for i in range(AHEAD):
+            other = ahead[:, i] != e["word"][x]
+            for j in range(AHEAD):
+                shared |= other & (ahead[:, i] == others[:, j])
+        own[x[~shared]] = own[y[~shared]] = True
+    return _keys(e)[own]
 
 
 def linked(e, names: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np.ndarray, t: float) -> dict[str, np.ndarray]:
@@ -666,7 +695,10 @@ def linked(e, names: np.ndarray, sizes: np.ndarray, word: np.ndarray, levels: np
     e, group = _ordered(e)
     starts = np.cumsum(sizes) - sizes
     links, later, root = np.zeros(len(names), np.int64), np.zeros(len(names), bool), np.arange(len(names))
-    for _, _, x, y in _owned(e, group, names, sizes, word, levels, t):
+    row = np.searchsorted(names, e["set"])
+    for x, y in _met_once(e, group, levels, t):
+        first = _common(word, starts[row[x]], e["at"][x].astype(np.int64), starts[row[y]], e["at"][y].astype(np.int64)) == 0
+        x, y = row[x[first]], row[y[first]]
         overlap = _common(word, starts[x], sizes[x], starts[y], sizes[y])
         ok = overlap >= t * (sizes[x] + sizes[y] - overlap) - 1e-9
         x, y = x[ok], y[ok]
@@ -689,21 +721,11 @@ def all_links(lines: DataFrame, t: float) -> tuple[DataFrame, object]:
     some = stored(only_marked(lines, near), "marked", compression="zstd")
     shards = _shards(some.agg(F.sum(F.octet_length("words"))).first()[0] or 0, 4_000_000)
 
-    def rarest(f: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        e, (names, sizes, word, parity) = _unpack(f["entries"].tolist()), heard(f, True)
-        e["sketch"] = np.bitwise_xor.reduce(parity, axis=1)[np.searchsorted(names, e["set"])]
-        e, group = _ordered(e)
-        own = np.zeros(len(group), bool)
-        for x, y, _, _ in _owned(e, group, names, sizes, word, np.frombuffer(levels.value, np.uint8), t, parity):
-            own[x] = own[y] = True
-        return (_keys(e)[own],)
-
-    own = sc.broadcast(marks(indexed(some, levels, shards, t, places=False, marked=hit, ahead=True), rarest, 1, bits)[0])
+    second = indexed(some, levels, shards, t, places=False, marked=hit, ahead=True)
+    own = sc.broadcast(marks(second, lambda f: (rarest(heard_ahead(f), np.frombuffer(levels.value, np.uint8), t),), 1, bits)[0])
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
-        e, (names, sizes, word, _) = _unpack(f["entries"].tolist()), heard(f, False)
-        e["sketch"], e["sketch2"] = (x[np.searchsorted(names, e["set"])] for x in sketches(word, sizes))
-        return pd.DataFrame(linked(e, names, sizes, word, np.frombuffer(levels.value, np.uint8), t))
+        return pd.DataFrame(linked(*heard(f), np.frombuffer(levels.value, np.uint8), t))
 
     last = indexed(some, levels, shards, t, marked=own, ahead=False)
     return stored(last.groupBy("shard").applyInPandas(work, "set bigint, root bigint, links bigint, later boolean"), "links"), wanted

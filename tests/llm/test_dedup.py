@@ -238,8 +238,9 @@ def test_a_pair_counts_where_its_rarest_common_word_is():
     links, later = np.zeros(len(sets), int), np.zeros(len(sets), bool)
     for shard in range(5):
         mine = e[e["word"] % 5 == shard]
-        names, n, w, parity = L.heard({"entries": [L._pack(mine)], "words": [L.told(mine, ids, sizes, flat, levels, False)]}, False)
-        got = L.linked(mine, names, n, w, levels, 0.8)
+        marked = L.rarest(L.heard_ahead({"entries": [L._pack(mine)], "words": [L.told(mine, ids, sizes, flat, levels, True)]}), levels, 0.8)
+        mine = mine[np.isin(L._keys(mine), marked)]
+        got = L.linked(*L.heard({"entries": [L._pack(mine)], "words": [L.told(mine, ids, sizes, flat, levels, False)]}), levels, 0.8)
         links[got["set"]] += got["links"]
         later[got["set"]] |= got["later"]
     near = [[i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
