@@ -129,3 +129,21 @@ def test_stream_into_store(spark, tmp_path):
         assert set(got) == {b"k%02d" % i for i in range(15)} and got[b"k14"] == b"29" and s.last_seq == 33
     log = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 2, None)], "k string, seq bigint, kind int, v string")
     assert latest_by_key(log).first()["seq"] == 2
+
+
+def test_free_runs_are_found_without_all_pairs(monkeypatch):
+    rng = random.Random(5)
+
+    def some(first, level, n):
+        bounds = [rng.randbytes(2) for _ in range(2 * n)]
+        return [run(first + i, level, *sorted(bounds[2 * i : 2 * i + 2])) for i in range(n)]
+
+    for n in (0, 1, 4, 40):  # also runs that overlap within a level
+        own, below = some(1, 1, 40), some(100, 2, n)
+        assert S.unmet(own, below) == [r for r in own if not any(b.overlaps(r.min_k, r.max_k) for b in below)]
+    calls, real = [], Run.overlaps
+    monkeypatch.setattr(Run, "overlaps", lambda *a: calls.append(1) or real(*a))
+    upper = [run(i, 1, b"%05d" % (4 * i), b"%05d" % (4 * i + 1)) for i in range(1, 1001)]
+    lower = [run(2000 + i, 2, b"%05d" % (4 * i + 2), b"%05d" % (4 * i + 3)) for i in range(1, 1001)]
+    found = S.candidates(Manifest(runs=(*upper, *lower), next_number=9000), S.Options(base_level_bytes=1000))
+    assert [c.numbers for c in found if c.kind == "move"][0] == tuple(range(1, 9)) and len(calls) < 100_000
