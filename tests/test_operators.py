@@ -147,3 +147,17 @@ def test_free_runs_are_found_without_all_pairs(monkeypatch):
     lower = [run(2000 + i, 2, b"%05d" % (4 * i + 2), b"%05d" % (4 * i + 3)) for i in range(1, 1001)]
     found = S.candidates(Manifest(runs=(*upper, *lower), next_number=9000), S.Options(base_level_bytes=1000))
     assert [c.numbers for c in found if c.kind == "move"][0] == tuple(range(1, 9)) and len(calls) < 100_000
+
+
+def test_lone_runs_move_unless_deletions_can_go():
+    o = S.Options(base_level_bytes=150, level_multiplier=2, scheduler="scored")
+    a, b = run(1, 1, b"a", b"c"), run(2, 1, b"m", b"p")
+    gone = Run("f1", 1, 1, 100, 1, b"a", b"c", 1, 1, 1)
+    below = run(3, 2, b"x", b"z")
+    plan = S.scored(Manifest(runs=(a, b), next_number=9), o)
+    assert plan.inputs == (1,) and plan.move and plan.predicted_bytes == 0
+    assert not S.scored(Manifest(runs=(gone, b), next_number=9), o).move  # the last level: a rewrite drops the deletion
+    deeper = run(4, 3, b"a", b"c")
+    assert S.scored(Manifest(runs=(gone, b, below, deeper), next_number=9), o).move
+    assert not S.scored(Manifest(runs=(a, b, run(3, 2, b"b", b"z")), next_number=9), o).move
+    assert not S.rewrite((run(5, 0, b"a", b"f"),), 0).move  # level 0 has hidden versions
